@@ -3,12 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from quarry.llm import fusing, mixing, near_duplicates, neighbours, tokens
+from quarry.llm import fusing, mixing, near_duplicates, neighbours, scans, splitting, tokens, truncation
 from quarry.session import table
 
 
+def _items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, sf_dir, "parsed_sections"), table(spark, sf_dir, "doc_inputs"), table(spark, sf_dir, "chunk_limits")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.oversized(*_items(spark, sf_dir))
+
+
+def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split(splitting.limited(*_items(spark, sf_dir)))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusing.winners(table(spark, sf_dir, "candidate_sets"), table(spark, sf_dir, "fusion_policies"))
 
@@ -33,6 +44,14 @@ def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.neighbours(table(spark, sf_dir, "view_dense")).select("id", "other", "position")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.noise(table(spark, sf_dir, "parsed_sections").select("section_id", "input_id", "text"))
+
+
+def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repaired(table(spark, sf_dir, "parsed_sections").select("section_id", "input_id", "text"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
@@ -53,16 +72,30 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*_mix(spark, sf_dir))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.rates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_pieces": p1_pieces,
     "p2_found": p2_found,
     "p2_ranking": p2_ranking,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
     "p4_found": p4_found,
     "p4_neighbours": p4_neighbours,
+    "p5_found": p5_found,
+    "p5_repaired": p5_repaired,
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_rates": p10_rates,
 }
 
 ORACLES = {}
