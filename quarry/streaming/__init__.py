@@ -1,0 +1 @@
+"""Incremental views over the change log, by Structured Streaming."""
