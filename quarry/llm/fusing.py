@@ -10,15 +10,15 @@ a difference of prefix sums over the sorted percentiles, so no pair is formed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.ranks import slotted_sum
 
 #: Percentile difference from which one record is wholly preferred to another.
 REACH = 0.25
-#: Records of a group beyond which its ranks are made in slots.
-GROUP = 20_000
+#: Rows of a plan beyond which, and if it holds more than a HOT_SHARE of all rows, its ranks are made in slots.
+GROUP, HOT_SHARE = 50_000, 1e-4
 
 
 def usable(candidates: DataFrame) -> DataFrame:
@@ -101,21 +101,54 @@ def net_flow(levels: DataFrame, reach: float = REACH) -> DataFrame:
     return joined.withColumn("flow", (wins - losses) / F.greatest(F.col("all") - 1, F.lit(1))).select(*KEYS, "score", "pct", "flow")
 
 
-def flows(candidates: DataFrame, policies: DataFrame, reach: float = REACH) -> DataFrame:
-    """(plan_id, namespace, record_id, net_flow) for every record that takes part in a plan.
+def _weighted(flow: DataFrame, policies: DataFrame) -> DataFrame:
+    """Adds ``weight``, of the namespace and op_kind; a null map, a missing key and a namespace without policy mean 1.0."""
+    policy = policies.groupBy("namespace").agg(F.max(F.to_json("fusion_weights")).alias("j"))
+    weights = policy.select("namespace", F.from_json("j", "map<string,double>").alias("w"))
+    return flow.join(weights, "namespace", "left").withColumn("weight", F.coalesce(F.element_at("w", F.col("op_kind")), F.lit(1.0))).drop("w")
+
+
+def _flows_in_place(rows: DataFrame, policies: DataFrame, reach: float) -> DataFrame:
+    """Net flows of plans that fit in a task each: one shuffle by plan, and windows within it."""
+    best = usable(rows.repartition("plan_id"))
+    plan, method = Window.partitionBy("plan_id", "namespace"), Window.partitionBy(*KEYS)
+    first = F.row_number().over(Window.partitionBy("plan_id", "namespace", "record_id").orderBy("op_kind"))
+    sized = best.withColumn("new", (first == 1).cast("int")).withColumns({"all": F.sum("new").over(plan), "n": F.count("*").over(method)})
+    by_score = method.orderBy("score")
+    same = F.count("*").over(Window.partitionBy(*KEYS, "score"))
+    ranked = sized.withColumns({"below": F.rank().over(by_score) - 1, "same": same, "missing": F.col("all") - F.col("n")})
+    p, none = F.col("pct"), F.col("none")
+    ranked = ranked.withColumns(
+        {"pct": (F.col("missing") + F.col("below") + F.col("same") / 2) / F.col("all"), "none": F.col("missing") / 2 / F.col("all")}
+    )
 
-    The weight of a method is its key in the namespace's fusion_weights; a
-    null map, a missing key and a namespace without policy mean 1.0.  Net
-    flows are rounded to 9 digits, so that ties don't hang on summing order.
-    """
-    best = usable(candidates)
-    levels, _ = percentiles(best)
-    flow = net_flow(levels, reach)
-    policy = policies.groupBy("namespace").agg(F.max(F.struct(F.to_json("fusion_weights").alias("j"))).alias("p"))
-    weights = policy.select("namespace", F.from_json("p.j", "map<string,double>").alias("w"))
-    weighted = flow.join(weights, "namespace", "left").select(
-        *KEYS, "score", "flow", F.coalesce(F.element_at("w", F.col("op_kind")), F.lit(1.0)).alias("weight")
+    def framed(what: str, bounds: str):
+        return F.expr(f"{what} OVER (PARTITION BY {', '.join(KEYS)} ORDER BY pct RANGE BETWEEN {bounds})")
+
+    low, high = f"{reach!r}D PRECEDING AND CURRENT ROW", f"CURRENT ROW AND {reach!r}D FOLLOWING"
+    n_low, s_low = framed("count(*)", low), framed("sum(pct)", low)
+    n_high, s_high = framed("count(*)", high), framed("sum(pct)", high)
+    n_upto = framed("count(*)", "UNBOUNDED PRECEDING AND CURRENT ROW")
+    over_none = F.least((p - none) / reach, F.lit(1.0))
+    wins = (n_low * p - s_low) / reach + (n_upto - n_low) + F.col("missing") * over_none
+    losses = (s_high - n_high * p) / reach + (F.col("n") - (n_upto - F.col("same")) - n_high)
+    others = F.greatest(F.col("all") - 1, F.lit(1))
+    flow = ranked.select(
+        *KEYS, "record_id", "n", ((wins - losses) / others).alias("flow"), F.when(F.col("missing") > 0, -F.sum(over_none).over(method) / others).otherwise(F.lit(0.0)).alias("lost")
     )
+    weighted = _weighted(flow, policies)
+    # What a record gets for a method that did not return it is the same for all, so it is added once per plan.
+    floor = F.sum(F.col("lost") * F.col("weight") / F.col("n")).over(plan)
+    gained = weighted.withColumn("floor", floor).groupBy("plan_id", "namespace", "record_id")
+    total = gained.agg(F.sum((F.col("flow") - F.col("lost")) * F.col("weight")).alias("gain"), F.max("floor").alias("floor"))
+    return total.select("plan_id", "namespace", "record_id", F.round(F.col("gain") + F.col("floor"), 9).alias("net_flow"))
+
+
+def _flows_in_slots(rows: DataFrame, policies: DataFrame, reach: float) -> DataFrame:
+    """The same for plans of any size, none of which is sorted in one place."""
+    best = usable(rows)
+    levels, _ = percentiles(best)
+    weighted = _weighted(net_flow(levels, reach), policies)
     none = weighted.where(F.col("score").isNull()).select(*KEYS, (F.col("flow") * F.col("weight")).alias("none"))
     floor = none.groupBy("plan_id", "namespace").agg(F.sum("none").alias("floor"))
     own = weighted.where(F.col("score").isNotNull()).join(none, KEYS, "left")
@@ -129,6 +162,22 @@ def flows(candidates: DataFrame, policies: DataFrame, reach: float = REACH) -> D
     )
 
 
+def flows(candidates: DataFrame, policies: DataFrame, reach: float = REACH) -> DataFrame:
+    """(plan_id, namespace, record_id, net_flow) for every record that takes part in a plan.
+
+    Net flows are rounded to 9 digits, so that ties don't hang on summing
+    order.  Hot plans are counted first; there are at most 1 / HOT_SHARE.
+    """
+    rows = candidates.select("plan_id", "plan_namespace", "namespace", "op_kind", "record_id", "score")
+    counts = rows.groupBy("plan_id").agg(F.count("*").alias("n")).where((F.col("n") > GROUP) & F.col("plan_id").isNotNull())
+    hot = [r[0] for r in counts.orderBy(F.col("n").desc(), "plan_id").limit(int(1 / HOT_SHARE)).select("plan_id").collect()]
+    if not hot:
+        return _flows_in_place(rows, policies, reach)
+    named = F.broadcast(rows.sparkSession.createDataFrame([(h,) for h in hot], "plan_id string"))
+    rest, large = rows.join(named, "plan_id", "left_anti"), rows.join(named, "plan_id", "left_semi")
+    return _flows_in_place(rest, policies, reach).unionByName(_flows_in_slots(large, policies, reach))
+
+
 def winners(candidates: DataFrame, policies: DataFrame, reach: float = REACH) -> DataFrame:
     """(plan_id, record_id): the record of highest net flow of each plan, ties to the lowest record_id."""
     first = flows(candidates, policies, reach).groupBy("plan_id").agg(F.min(F.struct((-F.col("net_flow")).alias("f"), "record_id")).alias("b"))
