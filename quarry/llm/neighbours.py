@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Centroids per half; entries ranked per query and block; rows per block; blocks a query visits.
-CENTROIDS, CANDIDATES, BLOCK, VISITS = 32, 1_500, 8_000, 4
+CENTROIDS, CANDIDATES, BLOCK, VISITS = 32, 1_200, 16_000, 4
 #: The codebooks are fitted on at most this many vectors, those of lowest hash.
 SAMPLE = 8_000
 
@@ -93,47 +93,53 @@ class Index:
         cell = distances(x[:, :half], c1).argmin(1) * len(c2) + distances(x[:, half:], c2).argmin(1)
         at = np.argsort(cell, kind="stable")
         self.ids, self.x, self.c1, self.c2 = ids[at], x[at], c1, c2
+        self.places = np.arange(len(ids))
         self.edge = np.searchsorted(cell[at], np.arange(len(c1) * len(c2) + 1)).tolist()
 
     def search(self, ids: np.ndarray, q: np.ndarray, k: int, candidates: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query position, neighbour id, similarity), at most k a query and never the query's own id."""
         half, width, edge = self.c1.shape[1], len(self.c2), self.edge
-        whole = len(self.ids) <= candidates
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if whole:
-            for a in range(0, len(q), 512):
-                out += [(np.full(len(i), a + n), i, s) for n, (i, s) in enumerate(self._top(ids[a : a + 512], q[a : a + 512] @ self.x.T, self.ids, k))]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+        if len(self.ids) <= candidates:
+            for a in range(0, len(q), 256):
+                n, i, s = _top(ids[a : a + 256], q[a : a + 256] @ self.x.T, np.broadcast_to(self.ids, (len(q[a : a + 256]), len(self.ids))), k)
+                out.append((n + a, i, s))
         else:
             d1, d2 = distances(q[:, :half], self.c1), distances(q[:, half:], self.c2)
-            for n in range(len(q)):
-                spans, found = [], 0
-                for i, j in order_cells(d1[n], d2[n]):
-                    a, b = edge[i * width + j], edge[i * width + j + 1]
-                    if b > a:
-                        spans.append((a, b))
-                        found += b - a
-                        if found >= candidates:
-                            break
-                at = np.concatenate([np.arange(a, b) for a, b in spans])
-                (i, s), = self._top(ids[n : n + 1], (self.x[at] @ q[n])[None], self.ids[at], k)
-                out.append((np.full(len(i), n), i, s))
-        if not out:
-            return np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0, np.float32)
+            for a in range(0, len(q), 64):
+                group = range(a, min(a + 64, len(q)))
+                sims = np.full((len(group), candidates), -np.inf, np.float32)
+                other = np.full((len(group), candidates), -1, np.int64)
+                for n in group:
+                    spans, found = [], 0
+                    for i, j in order_cells(d1[n], d2[n]):
+                        lo, hi = edge[i * width + j], edge[i * width + j + 1]
+                        if hi > lo:
+                            spans.append((lo, hi))
+                            found += hi - lo
+                            if found >= candidates:
+                                break
+                    at = np.concatenate([self.places[lo:hi] for lo, hi in spans])[:candidates]
+                    sims[n - a, : len(at)] = self.x[at] @ q[n]
+                    other[n - a, : len(at)] = self.ids[at]
+                n, i, s = _top(ids[a : a + 64], sims, other, k)
+                out.append((n + a, i, s))
         return tuple(np.concatenate(c) for c in zip(*out))  # type: ignore[return-value]
 
-    @staticmethod
-    def _top(own: np.ndarray, sims: np.ndarray, ids: np.ndarray, k: int):
-        for n in range(len(own)):
-            s = np.where(ids == own[n], -np.inf, sims[n])
-            if len(s) > 4 * k:
-                # Everything tied with the k-th stays until ties are settled by id.
-                least = np.partition(s, len(s) - k)[len(s) - k]
-                keep = np.flatnonzero(s >= least)
-            else:
-                keep = np.arange(len(s))
-            best = keep[np.lexsort((ids[keep], -s[keep]))][:k]
-            best = best[s[best] > -np.inf]
-            yield ids[best], s[best]
+
+def _top(own: np.ndarray, sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each row of ``sims``, by similarity and then by id; all ties with the k-th are looked at."""
+    sims = np.where(ids == own[:, None], -np.inf, sims)
+    if sims.shape[1] > k:
+        least = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k]
+        row, col = np.nonzero((sims >= least[:, None]) & (sims > -np.inf))
+    else:
+        row, col = np.nonzero(sims > -np.inf)
+    s, i = sims[row, col], ids[row, col]
+    at = np.lexsort((i, -s, row))
+    row, s, i = row[at], s[at], i[at]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], i[place < k], s[place < k]
 
 
 def neighbours(
