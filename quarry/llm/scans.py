@@ -53,10 +53,8 @@ def lexicon(texts: DataFrame, text: str = "text") -> DataFrame:
     bare = F.regexp_replace("w", rf"^[^\p{{L}}]+|[^\p{{L}}]+$", "")
     words = tokens.select(bare.alias("word")).where(F.length("word").between(1, 40) & F.col("word").rlike(r"^[\p{L}’']+(?:-[\p{L}’']+)*$"))
     counted = words.groupBy("word").agg(F.count("*").alias("n"))
-    total = counted.agg(F.sum("n").alias("total")).withColumn("one", F.lit(1))
-    # One row; the frequency bound also bounds the lexicon.
-    paired = counted.withColumn("one", F.lit(1)).join(F.broadcast(total), "one")
-    return paired.where((F.col("n") >= COUNT) & (F.col("n") >= F.col("total") * SHARE)).select("word", "n")
+    total = counted.agg(F.sum("n")).scalar()
+    return counted.where((F.col("n") >= COUNT) & (F.col("n") >= total * SHARE)).select("word", "n")
 
 
 class Reader:
@@ -246,7 +244,7 @@ def _misread(lines: list[str], reader: Reader) -> Iterator[tuple[int, int, int,
         if fence:
             continue
         found = list(_SPACED.finditer(line)) if len(line) < 20_000 or " " in line else []
-        ends = bare[-1] in _HYPHENS
+        ends = _BROKEN.search(line) is not None
         first, stop = int(part), len(found) - int(ends or i == last)
         for m in found[first:stop]:
             for at, n, good in reader.fixes(m[0]):
