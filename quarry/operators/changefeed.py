@@ -24,127 +24,164 @@ from pyspark.sql import functions as F
 from quarry.sources import files
 
 SPAN = ["namespace", "source_id", "stable_key"]
-#: A span with more operations than this is folded in pieces of as many op_seq values.
-PIECE = 5_000
+#: A span is folded in pieces of so many op_seq values if it has more operations than this, and more than
+#: a HOT_SHARE of all; so at most 1 / HOT_SHARE spans are.
+PIECE, HOT_SHARE = 5_000, 1e-4
 
 _OP_SCHEMA = (
-    "bucket int, namespace string, op_seq long, idempotency_key string, kind string, record_id string, "
+    "bucket int, h1 long, h2 long, namespace string, op_seq long, idempotency_key string, kind string, record_id string, "
     "old_id string, source_id string, stable_key string"
 )
 _FORGET_SCHEMA = "namespace string, op_seq long, idempotency_key string, target_id string"
-_LIVE_SCHEMA = "bucket int, namespace string, source_id string, stable_key string, record_id string, op_seq long"
+_LIVE_SCHEMA = "namespace string, source_id string, stable_key string, record_id string, op_seq long"
 
+#: How rows are laid out: all of a span's rows, or of a hot span's piece, in one task; few buckets a task.
+_HOME = ["bucket", "sub", "piece"]
+_SPAN_KEY = [*_HOME, "h1", "h2"]
 
-def normalise(changes: DataFrame) -> DataFrame:
-    """One row per (namespace, op_seq).
+
+def normalise(changes: DataFrame, buckets: int) -> DataFrame:
+    """The deliveries as operations, with bucket and hashes of their span; repeats are still there.
 
     A row takes part only with a namespace, an op_seq, a known kind and the
     ids that kind needs; anything else is an empty operation and changes
-    nothing.  If copies of one op_seq differ, the smallest row is taken, so
-    the choice doesn't depend on arrival.
+    nothing.  A forget has no bucket of its own.
     """
     kind = F.lower(F.trim("kind"))
-    whole = F.when(kind == "forget", F.col("target_id").isNotNull()).otherwise(
-        F.col("record_id").isNotNull() & F.col("source_id").isNotNull() & F.col("stable_key").isNotNull()
-    )
     span = kind != "forget"
-    body = F.struct(
-        kind.alias("kind"),
+    whole = F.when(span, F.col("record_id").isNotNull() & F.col("source_id").isNotNull() & F.col("stable_key").isNotNull()).otherwise(
+        F.col("target_id").isNotNull()
+    )
+    h1 = F.xxhash64(*SPAN)
+    return changes.where(F.col("namespace").isNotNull() & F.col("op_seq").isNotNull() & kind.isin("assert", "supersede", "forget") & whole).select(
+        F.when(span, F.pmod(h1, F.lit(buckets)).cast("int")).alias("bucket"),
+        F.when(span, h1).alias("h1"),
+        F.when(span, F.xxhash64("stable_key", "source_id", F.lit(1))).alias("h2"),
+        "namespace",
+        F.col("op_seq").cast("long").alias("op_seq"),
         "idempotency_key",
+        kind.alias("kind"),
         F.when(span, F.col("record_id")).alias("record_id"),
         F.when(kind == "supersede", F.col("old_id")).alias("old_id"),
         F.when(span, F.col("source_id")).alias("source_id"),
         F.when(span, F.col("stable_key")).alias("stable_key"),
         F.when(~span, F.col("target_id")).alias("target_id"),
     )
-    return (
-        changes.where(
-            F.col("namespace").isNotNull() & F.col("op_seq").isNotNull() & kind.isin("assert", "supersede", "forget")
-        )
-        .where(whole)
-        .select("namespace", F.col("op_seq").cast("long").alias("op_seq"), body.alias("b"))
-        .groupBy("namespace", "op_seq")
-        .agg(F.min("b").alias("b"))
-        .select("namespace", "op_seq", "b.*")
-    )
 
 
-def drop_retries(ops: DataFrame) -> DataFrame:
-    """Of the operations with one (namespace, idempotency_key), the lowest op_seq stays."""
-    first = (
-        ops.where(F.col("idempotency_key").isNotNull())
-        .groupBy("namespace", "idempotency_key")
-        .agg(F.min("op_seq").alias("op_seq"))
-        .select("namespace", "op_seq")
-    )
-    keyed = ops.where(F.col("idempotency_key").isNotNull()).join(first, ["namespace", "op_seq"], "left_semi")
-    return keyed.unionByName(ops.where(F.col("idempotency_key").isNull()))
+def retries(ops: DataFrame) -> DataFrame:
+    """(k1, k2, bucket, h1, h2, namespace, op_seq) of the operations that repeat an idempotency key of a lower op_seq.
+
+    Only hashes and numbers are shuffled; a key is two 64-bit hashes.
+    """
+    keyed = ops.where(F.col("idempotency_key").isNotNull()).select(
+        F.xxhash64("namespace", "idempotency_key").alias("k1"),
+        F.xxhash64("idempotency_key", "namespace", F.lit(1)).alias("k2"),
+        "bucket", "h1", "h2", "namespace", "op_seq",
+    )
+    first = keyed.groupBy("k1", "k2").agg(F.min("op_seq").alias("first"), F.max("op_seq").alias("last"))
+    repeated = first.where(F.col("last") > F.col("first")).select("k1", "k2", "first")
+    return keyed.join(repeated, ["k1", "k2"]).where(F.col("op_seq") > F.col("first")).drop("first").distinct()
 
 
 def expand_forgets(forgets: DataFrame, ops: DataFrame) -> DataFrame:
-    """A forget goes to each span of its namespace in which its target was ever written."""
-    seen = ops.select("namespace", "record_id", "bucket", "source_id", "stable_key").distinct()
-    nothing = F.lit(None).cast("string")
-    return (
-        forgets.select("namespace", "target_id", "op_seq")
-        .join(seen.withColumnRenamed("record_id", "target_id"), ["namespace", "target_id"])
-        .select("bucket", *SPAN, "op_seq", F.lit("forget").alias("kind"), nothing.alias("record_id"), F.col("target_id").alias("old_id"))
+    """(bucket, h1, h2, op_seq, old_id): a forget goes to each span of its namespace in which its target was ever written."""
+    seen = ops.where(F.col("kind") != "forget").select(
+        F.xxhash64("namespace", "record_id").alias("r1"), F.xxhash64("record_id", "namespace", F.lit(1)).alias("r2"), "bucket", "h1", "h2"
+    )
+    asked = forgets.select(
+        F.xxhash64("namespace", "target_id").alias("r1"), F.xxhash64("target_id", "namespace", F.lit(1)).alias("r2"), "op_seq", F.col("target_id").alias("old_id")
     )
+    return asked.distinct().join(seen.distinct(), ["r1", "r2"]).select("bucket", "h1", "h2", "op_seq", "old_id")
 
 
-def fold(events: DataFrame) -> DataFrame:
-    """The live record of each span: events in order of op_seq, each a function of what was live.
+def hot_spans(ops: DataFrame) -> list[tuple[int, int, int]]:
+    """(bucket, h1, h2) of the spans to be folded in pieces; at most 1 / HOT_SHARE, as each holds more than that share."""
+    counts = ops.where(F.col("bucket").isNotNull()).groupBy("bucket", "h1", "h2").agg(F.count("*").alias("n"))
+    large = counts.where(F.col("n") > PIECE).orderBy(F.col("n").desc(), "h1", "h2").limit(int(1 / HOT_SHARE)).collect()
+    total = sum(r.n for r in large) and ops.count()
+    return [(r.bucket, r.h1, r.h2) for r in large if r.n > total * HOT_SHARE]
 
-    An assert is constant, a supersede maps old_id to record_id, a forget maps
-    its target to nothing.  Such functions compose, so a hot span is folded in
-    pieces of at most ``PIECE`` operations that need not meet in one task.
+
+def events(ops: DataFrame, hot: list[tuple[int, int, int]]) -> tuple[DataFrame, DataFrame]:
+    """(rows, forgets): per span and op_seq the one operation or forget that takes place; the forgets that do.
+
+    One wide shuffle brings the rows of a span together; repeats of an op_seq
+    and retries are removed there.  Were the repeats of an op_seq to differ,
+    the smallest row holds, so arrival doesn't matter.
     """
-    events = events.select("bucket", *SPAN, "op_seq", "kind", "record_id", "old_id")
-    hot = (
-        events.groupBy("bucket", *SPAN).agg(F.count("*").alias("n")).where(F.col("n") > PIECE).select("bucket", *SPAN)
-        .withColumn("hot", F.lit(True))
+    lost = retries(ops)
+    forgets = ops.where(F.col("kind") == "forget").select("namespace", "op_seq", "idempotency_key", "target_id")
+    forgets = forgets.groupBy("namespace", "op_seq").agg(F.min(F.struct("target_id", "idempotency_key")).alias("b")).select("namespace", "op_seq", "b.*")
+    forgets = forgets.join(lost.where(F.col("bucket").isNull()).select("namespace", "op_seq"), ["namespace", "op_seq"], "left_anti")
+    written = ops.where(F.col("kind") != "forget").drop("target_id").withColumn("lost", F.lit(False))
+    gone = lost.where(F.col("bucket").isNotNull()).select("bucket", "h1", "h2", "op_seq").withColumn("lost", F.lit(True))
+    ended = expand_forgets(forgets, ops).withColumn("kind", F.lit("forget")).withColumn("lost", F.lit(False))
+    every = written.unionByName(gone, allowMissingColumns=True).unionByName(ended, allowMissingColumns=True)
+    piece = F.lit(-1).cast("long")
+    if hot:
+        schema = "bucket int, h1 long, h2 long, hot boolean"
+        named = F.broadcast(ops.sparkSession.createDataFrame([(*h, True) for h in hot], schema))
+        every = every.join(named, ["bucket", "h1", "h2"], "left")
+        piece = F.when(F.col("hot"), F.floor(F.col("op_seq") / PIECE)).otherwise(piece)
+    placed = every.withColumns({"sub": F.pmod(F.shiftright("h1", 40), F.lit(2)).cast("int"), "piece": piece})
+    body = F.struct("kind", "namespace", "source_id", "stable_key", "record_id", "old_id", "idempotency_key")
+    rows = (
+        placed.repartition(*_HOME)
+        .groupBy(*_SPAN_KEY, "op_seq")
+        .agg(F.max("lost").alias("lost"), F.min(F.when(~F.col("lost"), body)).alias("b"), F.max("piece").alias("at"))
+        .where(~F.col("lost") & F.col("b").isNotNull())
+        .select(*_SPAN_KEY, "op_seq", "at", "b.*")
     )
-    marked = events.join(hot, ["bucket", *SPAN], "left")
-    step = F.struct("op_seq", "kind", "record_id", "old_id")
+    return rows, forgets
+
+
+_FOLD = (
+    "aggregate(steps, named_struct('r', cast(null as string), 's', cast(null as bigint)), (acc, x) -> "
+    "CASE WHEN x.kind = 'assert' OR (x.kind = 'supersede' AND acc.r = x.old_id) THEN named_struct('r', x.record_id, 's', x.op_seq) "
+    "WHEN x.kind = 'forget' AND acc.r = x.old_id THEN named_struct('r', cast(null as string), 's', cast(null as bigint)) "
+    "ELSE acc END)"
+)
+
+
+def fold(rows: DataFrame, pieces: bool) -> DataFrame:
+    """The operations of each span (part ``ops``) and its live record (part ``live``).
+
+    The events of a span in order of op_seq are each a function of what was
+    live: an assert is constant, a supersede maps old_id to record_id, a
+    forget maps its target to nothing.  Such functions compose, so a hot span
+    is folded in pieces of at most ``PIECE`` operations that need not meet in
+    one task; ``pieces`` says whether there are any.
+    """
+    columns = _names(_OP_SCHEMA)
+    step = F.struct("op_seq", "kind", "record_id", "old_id", *SPAN, "idempotency_key")
+    null = "cast(null as string)"
+    # One pass gives both parts, so the rows are shuffled and grouped once.
     cold = (
-        marked.where(F.col("hot").isNull())
-        .groupBy("bucket", *SPAN)
-        .agg(F.sort_array(F.collect_list(step)).alias("steps"))
-        .select(
-            "bucket",
-            *SPAN,
-            F.expr(
-                "aggregate(steps, named_struct('r', cast(null as string), 's', cast(null as bigint)), (acc, x) -> "
-                "CASE WHEN x.kind = 'assert' OR (x.kind = 'supersede' AND acc.r = x.old_id) THEN named_struct('r', x.record_id, 's', x.op_seq) "
-                "WHEN x.kind = 'forget' AND acc.r = x.old_id THEN named_struct('r', cast(null as string), 's', cast(null as bigint)) "
-                "ELSE acc END)"
-            ).alias("live"),
-        )
-        .select("bucket", *SPAN, "live.r", "live.s")
-    )
-    pieces = (
-        marked.where(F.col("hot"))
-        .withColumn("piece", F.floor(F.col("op_seq") / PIECE))
-        .groupBy("bucket", *SPAN, "piece")
-        .applyInPandas(
-            _compose,
-            "bucket int, namespace string, source_id string, stable_key string, piece long, fixed boolean, r string, s long, "
-            "moves array<struct<a:string,r:string,s:long>>",
-        )
-    )
+        rows.groupBy(*_SPAN_KEY)
+        .agg(F.sort_array(F.collect_list(step)).alias("steps"), *[F.max(c).alias(c) for c in SPAN], F.max("at").alias("at"))
+        .where("at = -1")
+        .withColumn("live", F.expr(_FOLD))
+        .select("bucket", "h1", "h2", F.expr(
+            "inline(concat(transform(filter(steps, x -> x.kind <> 'forget'), x -> named_struct('part', 'ops', 'namespace', x.namespace, 'op_seq', x.op_seq, "
+            "'idempotency_key', x.idempotency_key, 'kind', x.kind, 'record_id', x.record_id, 'old_id', x.old_id, 'source_id', x.source_id, 'stable_key', x.stable_key)), "
+            f"filter(array(named_struct('part', 'live', 'namespace', namespace, 'op_seq', live.s, 'idempotency_key', {null}, 'kind', {null}, "
+            f"'record_id', live.r, 'old_id', {null}, 'source_id', source_id, 'stable_key', stable_key)), x -> x.record_id IS NOT NULL)))"
+        ))
+    )
+    if not pieces:
+        return cold.select("part", *columns)
+    large = rows.where("at >= 0")
+    span = "bucket int, h1 long, h2 long, namespace string, source_id string, stable_key string, "
+    parts = large.groupBy(*_SPAN_KEY).applyInPandas(_compose, span + "piece long, fixed boolean, r string, s long, moves array<struct<a:string,r:string,s:long>>")
     # Only what follows the last piece that doesn't depend on what was before it matters.
-    last = pieces.where("fixed").groupBy("bucket", *SPAN).agg(F.max("piece").alias("last"))
-    joined = (
-        pieces.join(last, ["bucket", *SPAN], "left")
-        .where(F.col("last").isNull() | (F.col("piece") >= F.col("last")))
-        .drop("last")
-        .groupBy("bucket", *SPAN)
-        .applyInPandas(_replay, "bucket int, namespace string, source_id string, stable_key string, r string, s long")
-    )
-    return (
-        cold.unionByName(joined).where(F.col("r").isNotNull())
-        .select("bucket", *SPAN, F.col("r").alias("record_id"), F.col("s").alias("op_seq"))
-    )
+    last = parts.where("fixed").groupBy("bucket", "h1", "h2").agg(F.max("piece").alias("last"))
+    after = parts.join(last, ["bucket", "h1", "h2"], "left").where(F.col("last").isNull() | (F.col("piece") >= F.col("last"))).drop("last")
+    live = after.groupBy("bucket", "h1", "h2").applyInPandas(_replay, span + "r string, s long").where("r is not null")
+    live = live.select(F.lit("live").alias("part"), "bucket", "h1", "h2", *SPAN, F.col("r").alias("record_id"), F.col("s").alias("op_seq"))
+    kept = large.where("kind <> 'forget'").select(F.lit("ops").alias("part"), *columns)
+    hot = kept.unionByName(live, allowMissingColumns=True)
+    return cold.select("part", *columns).unionByName(hot.select("part", *columns))
 
 
 def _none(x):
@@ -168,8 +205,8 @@ def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
                     moves[a] = to
             if _none(old) is not None:
                 moves.setdefault(old, to)
-    head = pdf.iloc[0]
-    return pd.DataFrame([{**{c: head[c] for c in ["bucket", *SPAN, "piece"]}, "fixed": fixed, "r": value[0], "s": value[1], "moves": [{"a": a, "r": r, "s": s} for a, (r, s) in moves.items()]}])
+    head, names = pdf.iloc[0], {c: next((x for x in pdf[c] if _none(x) is not None), None) for c in SPAN}
+    return pd.DataFrame([{**{c: head[c] for c in ["bucket", "h1", "h2", "piece"]}, **names, "fixed": fixed, "r": value[0], "s": value[1], "moves": [{"a": a, "r": r, "s": s} for a, (r, s) in moves.items()]}])
 
 
 def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -181,8 +218,8 @@ def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
             hit = next((m for m in row.moves if m["a"] == r), None)
             if hit is not None:
                 r, s = hit["r"], hit["s"]
-    head = pdf.iloc[0]
-    return pd.DataFrame([{**{c: head[c] for c in ["bucket", *SPAN]}, "r": r, "s": s}])
+    names = {c: next((x for x in pdf[c] if _none(x) is not None), None) for c in SPAN}
+    return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in ("bucket", "h1", "h2")}, **names, "r": r, "s": s}])
 
 
 class BucketStore:
@@ -215,48 +252,39 @@ class BucketStore:
 
     def apply(self, changes: DataFrame) -> list[int]:
         """Apply one batch of deliveries; returns the buckets it rewrote."""
-        old = self.manifest()
-        place = F.pmod(F.xxhash64(*SPAN), F.lit(old["buckets"])).cast("int")
-        fresh = normalise(changes).withColumn("bucket", F.when(F.col("kind") != "forget", place))
-        made = f"{self.path}/data/{uuid.uuid4().hex}"
-        if old["version"] == 0:
-            valid, touched = drop_retries(fresh), None
-        else:
+        old, made = self.manifest(), f"{self.path}/data/{uuid.uuid4().hex}"
+        fresh = normalise(changes, old["buckets"])
+        every, added, touched = fresh, None, None
+        if old["version"]:
             # The batch is read several times below; a written copy is read instead of the feed.
             fresh.write.parquet(f"{made}/batch")
             fresh = self.spark.read.schema(fresh.schema).parquet(f"{made}/batch")
             base = self._part(old, "ops", _OP_SCHEMA).withColumn("target_id", F.lit(None).cast("string"))
-            base = base.unionByName(
-                self._read(old["forgets"], _FORGET_SCHEMA).withColumn("kind", F.lit("forget")), allowMissingColumns=True
-            )
+            base = base.unionByName(self._read(old["forgets"], _FORGET_SCHEMA).withColumn("kind", F.lit("forget")), allowMissingColumns=True)
             fresh = fresh.join(base.select("namespace", "op_seq"), ["namespace", "op_seq"], "left_anti")
-            valid = drop_retries(base.unionByName(fresh))
-            touched = self._touched(base, fresh, valid)
-            valid = valid.where((F.col("kind") == "forget") | F.col("bucket").isin(sorted(touched)))
-        ops = valid.where(F.col("kind") != "forget").select(*_names(_OP_SCHEMA))
-        spread = ops.withColumn("b", F.col("bucket")).repartition("b", F.pmod(F.col("op_seq"), F.lit(4)))
-        spread.write.partitionBy("b").parquet(f"{made}/ops")
-        if old["version"] == 0:
-            valid.where(F.col("kind") == "forget").select(*_names(_FORGET_SCHEMA)).write.parquet(f"{made}/forgets")
-            forgets = self._read([f"{made}/forgets"], _FORGET_SCHEMA)
-        else:
-            fresh.where(F.col("kind") == "forget").select(*_names(_FORGET_SCHEMA)).write.parquet(f"{made}/forgets")
-            forgets = valid.where(F.col("kind") == "forget").select(*_names(_FORGET_SCHEMA))
-        kept = self._read(self._buckets(f"{made}/ops").values(), _OP_SCHEMA)
-        events = kept.select("bucket", *SPAN, "op_seq", "kind", "record_id", "old_id")
-        state = fold(events.unionByName(expand_forgets(forgets, kept)))
-        state.withColumn("b", F.col("bucket")).write.partitionBy("b").parquet(f"{made}/live")
-        return self._commit(old, made, touched)
-
-    def _touched(self, base: DataFrame, fresh: DataFrame, valid: DataFrame) -> set[int]:
+            every, added = base.unionByName(fresh), fresh.where(F.col("kind") == "forget")
+            touched = self._touched(every, fresh)
+            if not touched and fresh.isEmpty():
+                return []
+        hot = hot_spans(every)
+        rows, forgets = events(every, hot)
+        if touched is not None:
+            rows = rows.where(F.col("bucket").isin(sorted(touched)))
+        out = fold(rows, bool(hot)).withColumn("b", F.col("bucket"))
+        kept = (forgets if added is None else added).select(*_names(_FORGET_SCHEMA), F.lit("forgets").alias("part"), F.lit(-1).alias("b"))
+        out.unionByName(kept, allowMissingColumns=True).write.partitionBy("part", "b").parquet(made + "/files")
+        return self._commit(old, f"{made}/files", touched)
+
+    def _touched(self, every: DataFrame, fresh: DataFrame) -> set[int]:
         """Buckets whose live rows may change; at most as many as the store has."""
-        changed = fresh.select("namespace", "op_seq").unionByName(
-            base.select("namespace", "op_seq").join(valid, ["namespace", "op_seq"], "left_anti")
+        keys = fresh.where(F.col("idempotency_key").isNotNull()).select(
+            F.xxhash64("namespace", "idempotency_key").alias("k1"), F.xxhash64("idempotency_key", "namespace", F.lit(1)).alias("k2")
         )
-        both = base.unionByName(fresh).join(changed, ["namespace", "op_seq"], "left_semi")
-        spans = base.unionByName(fresh).where(F.col("kind") != "forget")
+        lost = retries(every).join(keys.distinct(), ["k1", "k2"], "left_semi").select("namespace", "op_seq")
+        changed = fresh.select("namespace", "op_seq").unionByName(lost)
+        both = every.join(changed, ["namespace", "op_seq"], "left_semi")
         hit = both.where(F.col("kind") != "forget").select("bucket").unionByName(
-            expand_forgets(both.where(F.col("kind") == "forget"), spans).select("bucket")
+            expand_forgets(both.where(F.col("kind") == "forget"), every).select("bucket")
         )
         return {r[0] for r in hit.distinct().collect()}
 
@@ -264,7 +292,8 @@ class BucketStore:
         return {n[2:]: f"{path}/{n}" for n in files.names(self.spark, path) if n.startswith("b=")}
 
     def _commit(self, old: dict, made: str, touched: set[int] | None) -> list[int]:
-        ops, live = self._buckets(f"{made}/ops"), self._buckets(f"{made}/live")
+        ops, live = self._buckets(f"{made}/part=ops"), self._buckets(f"{made}/part=live")
+        forgets = list(self._buckets(f"{made}/part=forgets").values())
         gone = {str(b) for b in touched} if touched is not None else set()
         version = old["version"] + 1
         new = {
@@ -272,7 +301,7 @@ class BucketStore:
             "buckets": old["buckets"],
             "ops": {b: p for b, p in old["ops"].items() if b not in gone} | ops,
             "live": {b: p for b, p in old["live"].items() if b not in gone} | live,
-            "forgets": [*old["forgets"], f"{made}/forgets"],
+            "forgets": [*old["forgets"], *forgets],
         }
         if not files.write_text_atomic(self.spark, f"{self.path}/manifests/{version:010d}.json", json.dumps(new)):
             raise RuntimeError(f"version {version} was committed by another writer")
