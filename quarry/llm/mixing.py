@@ -45,7 +45,7 @@ def schedule(sizes: DataFrame, targets: DataFrame, budget: int | None = None, se
     queued = queued.join(total, "source")
     # The virtual time at which everything fits: what a source can serve divided by its share.
     room = docs.groupBy("source").agg((F.sum("n_tokens") * F.max("repeats") / F.max("share")).alias("until"))
-    least = room.agg(F.min("until").alias("until")).withColumn("one", F.lit(1))
+    least = room.agg(F.min("until"))
     finish = (F.col("served") + F.col("whole") * (F.col("pass_no") - 1)) / F.col("share")
     copies = (
         queued.select("doc_id", "source", "n_tokens", "share", "served", "whole", F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("pass_no"))
@@ -53,13 +53,10 @@ def schedule(sizes: DataFrame, targets: DataFrame, budget: int | None = None, se
         .select("doc_id", "source", "pass_no", "n_tokens", "finish")
     )
     if budget is None:
-        # One row, so the broadcast is of fixed size.
-        paired = copies.withColumn("one", F.lit(1)).join(F.broadcast(least), "one")
-        return paired.where(F.col("finish") <= F.col("until") * (1 + 1e-12)).drop("until", "one")
+        return copies.where(F.col("finish") <= least.scalar() * (1 + 1e-12))
     # The finish order is cut where the running total passes the budget.
-    top = room.agg(F.max("until").alias("top")).withColumn("one", F.lit(1))
-    placed = copies.withColumn("one", F.lit(1)).join(F.broadcast(top), "one")
-    placed = placed.withColumn("slot", F.floor(F.col("finish") / F.col("top") * (SLOTS - 1)).cast("int")).drop("top")
+    top = room.agg(F.max("until")).scalar()
+    placed = copies.withColumn("one", F.lit(1)).withColumn("slot", F.floor(F.col("finish") / top * (SLOTS - 1)).cast("int"))
     ran = slotted_sum(placed, ["one"], "slot", [F.col("finish"), F.col("doc_id"), F.col("pass_no")], "n_tokens", "ran")
     return ran.where(F.col("ran") <= budget).drop("one", "slot", "ran")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import fusing, mixing, near_duplicates, neighbours, scans, splitting, tokens, truncation
-from quarry.session import table
+from quarry.session import stage, table
 
 
 def _items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -61,7 +61,8 @@ def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     # Only documents of target sources are tokenized; the targets are a fixed, small table.
     wanted = docs.join(targets.select("source"), "source", "left_semi")
-    return mixing.schedule(tokens.count_tokens(wanted), targets), targets
+    # Sizes are read several times; they are few bytes a document, and dear to take.
+    return mixing.schedule(stage(tokens.count_tokens(wanted), "sizes"), targets), targets
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
