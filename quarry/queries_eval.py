@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import evaluation as E
-from quarry.operators import fusion
+from quarry.operators import fusion, rerank
 from quarry.session import table
 
 
@@ -62,7 +62,19 @@ def foreign_results(spark: SparkSession, d: str) -> DataFrame:
     return c.select("plan_id", "op_kind", "record_id", "namespace").distinct()
 
 
-QUERIES = {f.__name__: f for f in (mrr, ndcg_at_10, recall_any_at_10, calibration_grid, holdout_split, regression_gate, score_violations, repeated_results, agreement_grid, foreign_results)}
+def rerank_by_overlap(spark: SparkSession, d: str) -> DataFrame:
+    ranks = fusion.op_ranks(fusion.own_rows(table(spark, d, "candidate_sets")))
+    pool = fusion.rerank_pool(ranks, fusion.rrf(ranks))
+    texts = table(spark, d, "records").groupBy("record_id").agg(F.min("body_text").alias("text"))
+    return rerank.rerank(pool.join(texts, "record_id").withColumn("query", F.lit("review queue archive retention"))).select("plan_id", "record_id", "rank")
+
+
+def first_positions(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "candidate_sets").select("plan_id", "op_kind", "record_id", "pos")
+    return rerank.first_position(c.withColumn("q", F.concat_ws("/", "plan_id", "op_kind")), "q", "record_id").select("q", "record_id", "rank")
+
+
+QUERIES = {f.__name__: f for f in (rerank_by_overlap, first_positions, mrr, ndcg_at_10, recall_any_at_10, calibration_grid, holdout_split, regression_gate, score_violations, repeated_results, agreement_grid, foreign_results)}
 
 _B = """WITH own AS (SELECT plan_id, op_kind, record_id, min(pos) AS pos FROM candidate_sets WHERE namespace = plan_namespace GROUP BY ALL),
  ranks AS (SELECT *, row_number() OVER (PARTITION BY plan_id, op_kind ORDER BY pos, record_id) - 1 AS rank0 FROM own),
@@ -92,5 +104,7 @@ ORACLES = {
     "repeated_results": "SELECT plan_id, op_kind, record_id, count(DISTINCT pos) AS times FROM candidate_sets GROUP BY ALL HAVING count(DISTINCT pos) > 1",
     "agreement_grid": _B + """ SELECT plan_id, count(*) FILTER (op_kind = 'ann') AS ann, count(*) FILTER (op_kind = 'bm25') AS bm25, count(*) FILTER (op_kind = 'grep') AS grep, count(*) FILTER (op_kind = 'rerank') AS rerank
      FROM ranks WHERE rank0 < 5 GROUP BY 1""",
+    "first_positions": """WITH f AS (SELECT plan_id || '/' || op_kind AS q, record_id, min(pos) AS pos FROM candidate_sets GROUP BY ALL)
+     SELECT q, record_id, row_number() OVER (PARTITION BY q ORDER BY pos, record_id) AS rank FROM f""",
     "foreign_results": "SELECT DISTINCT plan_id, op_kind, record_id, namespace FROM candidate_sets WHERE namespace IS DISTINCT FROM plan_namespace",
 }
