@@ -78,7 +78,9 @@ def _cut_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def covered_until(runs: DataFrame) -> DataFrame:
     """Per block, the latest start of a run that covers it whole."""
-    cut = runs.mapInPandas(_cut_runs, "namespace string, view_name string, started_at timestamp, level int, block long")
+    # Reports are few bytes and many blocks; they are spread so that cutting them isn't left to one task.
+    spread = runs.repartition(runs.sparkSession.sparkContext.defaultParallelism * 2)
+    cut = spread.mapInPandas(_cut_runs, "namespace string, view_name string, started_at timestamp, level int, block long")
     return cut.groupBy("namespace", "view_name", "level", "block").agg(F.max("started_at").alias("started_at"))
 
 
