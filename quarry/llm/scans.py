@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, product
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -49,10 +49,12 @@ _FOLD = str.maketrans({"0": "o", "1": "l", "i": "l", "|": "l", "!": "l", "t": "l
 
 def lexicon(texts: DataFrame, text: str = "text") -> DataFrame:
     """(word, n): lower-case words of letters only, with inner hyphens, that are frequent in the corpus."""
-    tokens = texts.select(F.explode(F.split(F.lower(text), r"\s+")).alias("w"))
-    bare = F.regexp_replace("w", rf"^[^\p{{L}}]+|[^\p{{L}}]+$", "")
-    words = tokens.select(bare.alias("word")).where(F.length("word").between(1, 40) & F.col("word").rlike(r"^[\p{L}’']+(?:-[\p{L}’']+)*$"))
-    counted = words.groupBy("word").agg(F.count("*").alias("n"))
+    tokens = texts.select(F.explode(F.split(F.lower(text), r"\s+")).alias("w")).where(F.length("w").between(1, 60))
+    # Tokens are counted as they stand; only distinct ones are looked at closely.
+    distinct = tokens.groupBy("w").agg(F.count("*").alias("n"))
+    bare = F.regexp_replace("w", r"^[^\p{L}]+|[^\p{L}]+$", "")
+    words = distinct.select(bare.alias("word"), "n").where(F.length("word").between(1, 40) & F.col("word").rlike(r"^[\p{L}’']+(?:-[\p{L}’']+)*$"))
+    counted = words.groupBy("word").agg(F.sum("n").alias("n"))
     total = counted.agg(F.sum("n")).scalar()
     return counted.where((F.col("n") >= COUNT) & (F.col("n") >= total * SHARE)).select("word", "n")
 
@@ -79,30 +81,48 @@ class Reader:
         if not 3 <= len(low) <= 30 or letters < 2 or letters * 2 < len(low):
             return None
         own = self.counts.get(low, 0)
-        spots = [(m.start(), a, b) for a, b in CONFUSIONS for m in re.finditer(re.escape(a), low)]
-        if not spots or len(spots) > 14:
+        spots: dict[bool, list[tuple[int, str, str]]] = {True: [], False: []}
+        for a, b in CONFUSIONS:
+            at = low.find(a)
+            while at >= 0:
+                spots[a.isalpha()].append((at, a, b))
+                at = low.find(a, at + 1)
+        odd = [i for i, c in enumerate(low) if not c.isalpha()]
+        if len(odd) > 3 or len(spots[True]) > 14:
             return None
-        odd = {i for i, c in enumerate(low) if not c.isalpha()}
-        best: tuple[int, str] | None = None
-        for size in (1, 2, 3):
-            for chosen in combinations(sorted(spots), size):
+        # What isn't a letter is misread for certain; besides, one letter may be, or two where all are letters.
+        forced = list(product(*([s for s in spots[False] if s[0] == i] for i in odd)))
+        letters = spots[True]
+        extra: list[tuple] = [(), *((s,) for s in letters)]
+        sizes = [[f + e for f in forced for e in extra]] if odd else [extra[1:], list(combinations(letters, 2))]
+        for chosen_ones in sizes:
+            best: tuple[int, str] | None = None
+            for chosen in chosen_ones:
+                chosen = sorted(chosen)
                 if any(x[0] + len(x[1]) > y[0] for x, y in zip(chosen, chosen[1:])):
                     continue
-                if not odd <= {i for at, a, _ in chosen for i in range(at, at + len(a))}:
-                    continue
-                out, last, low_out = "", 0, ""
+                out, last = "", 0
                 for at, a, b in chosen:
-                    up = word[at : at + len(a)].isupper() or (not word[at].isalpha() and len(word) > 1 and word.replace(word[at], "").isupper())
-                    out += word[last:at] + (b.upper() if up else b)
-                    low_out += low[last:at] + b
-                    last = at + len(a)
-                n = self.counts.get(low_out + low[last:], 0)
+                    out, last = out + low[last:at] + b, at + len(a)
+                out += low[last:]
+                n = self.counts.get(out, 0)
                 if n >= max(COUNT, own * RATIO) and (best is None or n > best[0]):
-                    best = (n, out + word[last:])
+                    best = (n, self._cased(word, chosen))
             if best:
                 return best[1]
         return None
 
+    @staticmethod
+    def _cased(word: str, chosen: list[tuple[int, str, str]]) -> str:
+        """The reading in the case of the word: capitals where the misread part, or all letters of the word, are."""
+        upper = "".join(c for c in word if c.isalpha()).isupper() and len(word) > 1
+        out, last = "", 0
+        for at, a, b in chosen:
+            part = word[at : at + len(a)]
+            out += word[last:at] + (b.upper() if part.isupper() or upper and not part.isalpha() else b)
+            last = at + len(a)
+        return out + word[last:]
+
     def fixes(self, token: str) -> tuple[tuple[int, int, str], ...]:
         """(place, length, reading) of the misread words of a token; codes, paths and long strings have none."""
         if len(token) > 60:
@@ -178,7 +198,7 @@ def furniture(lines: list[str]) -> list[tuple[int, str, bool]]:
         line = lines[i]
         if i in code or len(line) > 140:
             continue
-        if _PAGE_LINE.fullmatch(line):
+        if len(line) <= 60 and _PAGE_LINE.fullmatch(line):
             if _BARE.fullmatch(line):
                 # Numbers one below the other are a column of values.
                 if any((j := i + s) in at and _BARE.fullmatch(lines[j]) for s in (-1, 1)):
@@ -186,7 +206,7 @@ def furniture(lines: list[str]) -> list[tuple[int, str, bool]]:
                 if not line.strip().isdigit() and len(line.strip()) == 1 and line.strip() not in "ivxIVX":
                     continue
             out[i] = ("#", True)
-        elif not _LISTED.match(line) and (m := _TITLED.fullmatch(line)) and len(line.strip()) <= 110:
+        elif ("  " in line.strip() or "\t" in line) and not _LISTED.match(line) and (m := _TITLED.fullmatch(line)) and len(line.strip()) <= 110:
             title = m["t"] or m["u"]
             if len(title) <= 70 and any(c.isalpha() for c in title) and not title.endswith((".", ",", ";", ":")):
                 out[i] = (fold(title), True)
@@ -227,6 +247,12 @@ _CODE = re.compile(r"[A-Z]{2,5}-\d+")
 _PART = re.compile(rf"[^{_HYPHENS}’']+")
 
 
+def _cut_word(line: str) -> re.Match | None:
+    """The word before a hyphen at the end of the line, if there is one."""
+    bare = line.rstrip(" \t")
+    return _BROKEN.search(line, max(0, len(bare) - 64)) if bare and bare[-1] in _HYPHENS else None
+
+
 def _misread(lines: list[str], reader: Reader) -> Iterator[tuple[int, int, int, str]]:
     """(line, place, length, reading) of the misread words outside code.
 
@@ -244,7 +270,7 @@ def _misread(lines: list[str], reader: Reader) -> Iterator[tuple[int, int, int,
         if fence:
             continue
         found = list(_SPACED.finditer(line)) if len(line) < 20_000 or " " in line else []
-        ends = _BROKEN.search(line) is not None
+        ends = _cut_word(line) is not None
         first, stop = int(part), len(found) - int(ends or i == last)
         for m in found[first:stop]:
             for at, n, good in reader.fixes(m[0]):
@@ -268,7 +294,7 @@ def _breaks(lines: list[str], edge: set[int], reader: Reader) -> Iterator[tuple[
     for i, line in enumerate(lines):
         if line.lstrip().startswith(("```", "~~~")):
             fence = not fence
-        m = None if fence else _BROKEN.search(line)
+        m = None if fence else _cut_word(line)
         if not m:
             continue
         passed = False
