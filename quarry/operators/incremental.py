@@ -89,7 +89,10 @@ def processed_ledger(rows: DataFrame, runs: DataFrame) -> DataFrame:
 
     ``rows`` has row_id, namespace, version (the log position) and committed_at.
     """
-    levels = F.array(*[F.struct(F.lit(n).alias("level"), F.shiftright("version", SHIFT * n).alias("block")) for n in range(LEVELS)])
+    # No run holds a block wider than the log; leaving those levels out also keeps a namespace's rows from sharing one block.
+    top = runs.agg(F.max("upto")).first()[0] or 0
+    used_levels = [n for n in range(LEVELS) if (1 << (SHIFT * n)) <= top + 1]
+    levels = F.array(*[F.struct(F.lit(n).alias("level"), F.shiftright("version", SHIFT * n).alias("block")) for n in used_levels])
     wide = rows.where((F.col("version") >= 0) & F.col("committed_at").isNotNull())
     used = covered_until(runs)
     return (
