@@ -265,7 +265,7 @@ def _crowds(met: DataFrame, one: DataFrame, threshold: float, size: int, block:
     return meetings.groupBy("crowd", "x", "y").applyInPandas(compare, "a long, b long, likeness double")
 
 
-#: A class of copies of at most this many rows is paired row by row; beyond it rows are tied to its lowest rows.
+#: Rows of one block of a class; hot classes meet block by block.
 COPIES = 64
 
 
@@ -276,32 +276,27 @@ def similar_rows(records: DataFrame, threshold: float = 0.5, size: int = 3, **ho
     A row counts once however often it is repeated; null texts, texts with
     fewer words, and rows with a null row_id or source_id take no part.
 
-    Rows of one class (the same text) are all alike.  Classes of up to
-    ``COPIES`` rows are expanded into all their pairs; of a larger class the
-    lowest row stands for it in pairs with other classes, and its other rows
-    are each tied to the lowest row of another source.
+    Rows of one class (the same text) are all alike.  Every pair is given;
+    classes are cut into blocks of about ``COPIES`` rows, so that the pairs of
+    a class of very many rows are made by many tasks.
     """
     good = records.where(F.col("row_id").isNotNull() & F.col("source_id").isNotNull() & F.col("body_text").isNotNull())
     texts = good.select(digest("body_text").alias("id"), F.col("body_text").alias("text"))
     rows = good.where(_wordy("body_text", size)).select("row_id", "source_id", digest("body_text").alias("id"))
     # One narrow shuffle by class serves the copies, the class sizes and their join.
     rows = rows.repartition("id").dropDuplicates(["id", "row_id", "source_id"])
-    sizes = rows.groupBy("id").agg(F.count("*").alias("n"), F.min("row_id").alias("first"))
-    members = rows.join(sizes, "id").select("id", "row_id", "source_id", "n", "first")
-    near = similar_classes(texts, threshold, size, **how)
-    spoke = members.where((F.col("n") <= COPIES) | (F.col("row_id") == F.col("first")))
-    side = lambda c: spoke.select(F.col("id").alias(c), F.col("row_id").alias(f"r{c}"), F.col("source_id").alias(f"s{c}"))
-    across = near.select("a", "b").join(side("a"), "a").join(side("b"), "b").where("sa <> sb").select("ra", "rb")
-    small = members.where((F.col("n") > 1) & (F.col("n") <= COPIES))
-    ring = lambda c: small.select("id", F.col("row_id").alias(f"r{c}"), F.col("source_id").alias(f"s{c}"))
-    copies = ring("a").join(ring("b"), "id").where("ra < rb and sa <> sb").select("ra", "rb")
-    large = members.where(F.col("n") > COPIES)
-    heads = large.where(F.col("row_id") == F.col("first")).select("id", F.col("source_id").alias("s1"))
-    tied = large.join(heads, "id")
-    second = tied.where("source_id <> s1").groupBy("id").agg(F.min("row_id").alias("second"))
-    tied = tied.join(second, "id").select("row_id", F.when(F.col("source_id") == F.col("s1"), F.col("second")).otherwise(F.col("first")).alias("other"))
-    ties = tied.select(F.col("row_id").alias("ra"), F.col("other").alias("rb"))
-    every = across.unionByName(copies).unionByName(ties).where("ra <> rb")
+    sizes = rows.groupBy("id").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / COPIES).cast("int"))
+    members = rows.join(sizes, "id").withColumn("block", F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int"))
+    near = similar_classes(texts, threshold, size, **how).select("a", "b")
+    # A class of several rows also meets itself.
+    both = near.unionByName(sizes.where("n > 1").select(F.col("id").alias("a"), F.col("id").alias("b")))
+    for c in "ab":
+        both = both.join(sizes.select(F.col("id").alias(c), F.col("blocks").alias(f"n{c}")), c)
+    blocks = lambda c: F.explode(F.sequence(F.lit(0), F.col(f"n{c}") - 1))
+    meetings = both.withColumn("xa", blocks("a")).withColumn("xb", blocks("b")).where("a <> b or xa <= xb")
+    side = lambda c: members.select(F.col("id").alias(c), F.col("block").alias(f"x{c}"), F.col("row_id").alias(f"r{c}"), F.col("source_id").alias(f"s{c}"))
+    met = meetings.select("a", "b", "xa", "xb").join(side("a"), ["a", "xa"]).join(side("b"), ["b", "xb"])
+    every = met.where("sa <> sb and ra <> rb and (a <> b or xa < xb or ra < rb)")
     return every.select(F.least("ra", "rb").alias("row_id_a"), F.greatest("ra", "rb").alias("row_id_b")).distinct()
 
 

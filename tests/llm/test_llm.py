@@ -166,6 +166,15 @@ def test_many_copies_lose_no_row(spark, monkeypatch):
     assert {i for pair in got for i in pair} == {r[0] for r in rows}
 
 
+def test_large_classes_give_all_pairs(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    # The variant shares its source with the lowest row of the large class.
+    rows = [(0, "s1", text)] + [(i, "s2", text) for i in range(1, 70)] + [(90, "s1", text + " end")]
+    rows += [(i, f"s{i % 3}", text + " end or more") for i in range(100, 180)]
+    got = [tuple(r) for r in near_duplicates.similar_rows(spark.createDataFrame(rows, RECORDS)).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(rows)
+
+
 def test_groups_and_components(spark):
     rows = variants(3)
     got = {r.row_id: r.group_id for r in near_duplicates.groups(spark.createDataFrame(rows, RECORDS).select("row_id", "body_text"), 0.5, 3).collect()}
