@@ -1,15 +1,17 @@
 """The k most similar vectors of every vector, by an inverted multi-index.
 
 A vector is normalised and cut into two halves, each quantised by its own
-codebook; a pair of centroids is a cell of the index.  A query visits cells in
-order of the sum of its two centroid distances, which a heap yields without
-sorting all pairs, until enough entries are gathered, and ranks these by exact
-cosine similarity.
+codebook; a pair of centroids is a cell of the index.  A block of up to
+``candidates`` entries is ranked whole by exact cosine similarity, which is
+cheaper than gathering its cells; in a larger one a query visits cells in order
+of the sum of its two centroid distances, which a heap yields without sorting
+all pairs, until enough entries are gathered.
 
 Vectors of one group (say namespace and producer) are laid out in blocks of
-bounded size: a small group is one block; a large group is split along its
-first-half centroids, and a query goes only to the blocks whose cells come
-first in its order.  So no task holds more than a block and its queries.
+bounded size: a small group is one block; a large group is split along the
+centroids of a third codebook, of whole vectors, and a query goes only to the
+blocks whose cells come first in its order.  So no task holds more than a block
+and its queries.
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Centroids per half; entries ranked per query and block; rows per block; blocks a query visits.
-CENTROIDS, CANDIDATES, BLOCK, VISITS = 32, 1_200, 16_000, 4
+#: Centroids per half and of whole vectors; rows per block; blocks a query visits.
+CENTROIDS, COARSE, BLOCK, VISITS = 32, 64, 16_000, 4
+#: Entries of a block that are ranked whole; the blocks of a salted cell are uneven.
+CANDIDATES = 2 * BLOCK
 #: The codebooks are fitted on at most this many vectors, those of lowest hash.
 SAMPLE = 8_000
 
@@ -42,14 +46,14 @@ def usable(vectors: DataFrame, dim: int, key: str, vector: str, group: list[str]
     return good.select(F.col(key).alias("id"), F.concat_ws("\1", *named).alias("grp"), x.cast("array<float>").alias("v"))
 
 
-def fit(vectors: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """The two codebooks, by Lloyd's iterations on a bounded sample; empty ones if there are no vectors."""
+def fit(vectors: DataFrame, centroids: int = CENTROIDS, coarse: int = COARSE, sample: int = SAMPLE, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The codebooks of the halves and of whole vectors, by Lloyd's iterations on a bounded sample; empty ones if there are no vectors."""
     picked = vectors.select("v", F.xxhash64("id", F.lit(seed)).alias("h")).orderBy("h", "v").limit(sample).collect()
     if not picked:
-        return np.zeros((1, 0), np.float32), np.zeros((1, 0), np.float32)
+        return np.zeros((1, 0), np.float32), np.zeros((1, 0), np.float32), np.zeros((1, 0), np.float32)
     x = unit(np.array([r[0] for r in picked], dtype=np.float32))
     half = x.shape[1] // 2
-    return _means(x[:, :half], centroids, seed), _means(x[:, half:], centroids, seed + 1)
+    return _means(x[:, :half], centroids, seed), _means(x[:, half:], centroids, seed + 1), _means(x, coarse, seed + 2)
 
 
 def _means(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -97,45 +101,55 @@ class Index:
         self.edge = np.searchsorted(cell[at], np.arange(len(c1) * len(c2) + 1)).tolist()
 
     def search(self, ids: np.ndarray, q: np.ndarray, k: int, candidates: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query position, neighbour id, similarity), at most k a query and never the query's own id."""
+        """(query position, neighbour id, similarity), at most k a query and never the query's own id.
+
+        Up to ``candidates`` entries are searched whole; beyond, the cells of a query are taken whole until they hold so many.
+        """
         half, width, edge = self.c1.shape[1], len(self.c2), self.edge
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
         if len(self.ids) <= candidates:
+            at = np.argsort(self.ids, kind="stable")
+            own, x = self.ids[at], self.x[at].T
             for a in range(0, len(q), 256):
-                n, i, s = _top(ids[a : a + 256], q[a : a + 256] @ self.x.T, np.broadcast_to(self.ids, (len(q[a : a + 256]), len(self.ids))), k)
+                n, i, s = _top(ids[a : a + 256], q[a : a + 256] @ x, own, k)
                 out.append((n + a, i, s))
         else:
             d1, d2 = distances(q[:, :half], self.c1), distances(q[:, half:], self.c2)
-            for a in range(0, len(q), 64):
-                group = range(a, min(a + 64, len(q)))
-                sims = np.full((len(group), candidates), -np.inf, np.float32)
-                other = np.full((len(group), candidates), -1, np.int64)
-                for n in group:
-                    spans, found = [], 0
-                    for i, j in order_cells(d1[n], d2[n]):
-                        lo, hi = edge[i * width + j], edge[i * width + j + 1]
-                        if hi > lo:
-                            spans.append((lo, hi))
-                            found += hi - lo
-                            if found >= candidates:
-                                break
-                    at = np.concatenate([self.places[lo:hi] for lo, hi in spans])[:candidates]
-                    sims[n - a, : len(at)] = self.x[at] @ q[n]
-                    other[n - a, : len(at)] = self.ids[at]
-                n, i, s = _top(ids[a : a + 64], sims, other, k)
-                out.append((n + a, i, s))
+            for n in range(len(q)):
+                spans, found = [], 0
+                for i, j in order_cells(d1[n], d2[n]):
+                    lo, hi = edge[i * width + j], edge[i * width + j + 1]
+                    if hi > lo:
+                        spans.append((lo, hi))
+                        found += hi - lo
+                        if found >= candidates:
+                            break
+                at = np.concatenate([self.places[lo:hi] for lo, hi in spans])
+                at = at[np.argsort(self.ids[at], kind="stable")]
+                _, i, s = _top(ids[n : n + 1], (self.x[at] @ q[n])[None, :], self.ids[at], k)
+                out.append((np.full(len(i), n), i, s))
         return tuple(np.concatenate(c) for c in zip(*out))  # type: ignore[return-value]
 
 
 def _top(own: np.ndarray, sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of each row of ``sims``, by similarity and then by id; all ties with the k-th are looked at."""
-    sims = np.where(ids == own[:, None], -np.inf, sims)
-    if sims.shape[1] > k:
-        least = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k]
-        row, col = np.nonzero((sims >= least[:, None]) & (sims > -np.inf))
-    else:
-        row, col = np.nonzero(sims > -np.inf)
-    s, i = sims[row, col], ids[row, col]
+    """The k best of each row of ``sims``, by similarity and then by id; the columns' ``ids`` ascend."""
+    n = len(ids)
+    at = np.minimum(np.searchsorted(ids, own), n - 1)
+    hit = np.flatnonzero(ids[at] == own)
+    sims[hit, at[hit]] = -np.inf
+    least = np.full(len(sims), -np.inf, np.float32)
+    if n > k:
+        # The k-th best of the maxima of strips is at most the k-th best of all.
+        strip = max(1, n // (32 * k))
+        best = sims[:, : n // strip * strip].reshape(len(sims), -1, strip).max(2) if strip > 1 else sims
+        least = np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k]
+    keep = (sims >= least[:, None]) & (sims > -np.inf)
+    # Where very many tie, those of lowest id are enough.
+    for r in np.flatnonzero(keep.sum(1) > 8 * k):
+        col = np.flatnonzero(keep[r])
+        keep[r, col[np.argsort(-sims[r, col], kind="stable")[k:]]] = False
+    row, col = np.nonzero(keep)
+    s, i = sims[row, col], ids[col]
     at = np.lexsort((i, -s, row))
     row, s, i = row[at], s[at], i[at]
     place = np.arange(len(row)) - np.searchsorted(row, row)
@@ -149,17 +163,17 @@ def neighbours(
     """(id, other, similarity, position) of the ``k`` most similar rows of every usable row in its group.
 
     Copies of a row count once.  Ties go to the lower id.  A group of at most
-    ``candidates`` rows is searched whole.
+    ``block`` and ``candidates`` rows is searched whole.
     """
     rows = usable(vectors, dim, key, vector, list(group))
-    c1, c2 = fit(rows)
+    c1, c2, coarse = fit(rows)
     half = c1.shape[1]
 
-    # The first-half cell decides the block; groups up to one block need none.
+    # The cell of the whole vector decides the block; groups up to one block need none.
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = unit(np.stack(pdf["v"].to_numpy()).astype(np.float32)) if len(pdf) else np.zeros((0, dim), np.float32)
-            d = distances(x[:, :half], c1) if half else np.zeros((len(pdf), 1))
+            d = distances(x, coarse) if half else np.zeros((len(pdf), 1))
             pdf["c"], pdf["v"] = d.argmin(1).astype("int32"), list(x)
             yield pdf
 
@@ -179,7 +193,7 @@ def neighbours(
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = np.stack(pdf["v"].to_numpy()).astype(np.float32) if len(pdf) else np.zeros((0, dim), np.float32)
-            near = distances(x[:, :half], c1).argsort(1, kind="stable")
+            near = distances(x, coarse).argsort(1, kind="stable")
             take, to = [], []
             for n, cell_blocks in enumerate(pdf["route"]):
                 blocks = dict(cell_blocks)
@@ -208,7 +222,7 @@ def neighbours(
 
     found = entries.unionByName(queries).groupBy("grp", "block").applyInPandas(search, "id long, other long, similarity float")
     best = F.sort_array(F.collect_list(F.struct((-F.col("similarity")).alias("s"), F.col("other").alias("other"))))
-    # At most visits * k rows per id are gathered.
+    # At most k rows per id and visited block are gathered.
     top = found.groupBy("id").agg(F.slice(best, 1, k).alias("top"))
     return top.select("id", F.posexplode("top").alias("p", "t")).select(
         "id", F.col("t.other").alias("other"), (-F.col("t.s")).alias("similarity"), (F.col("p") + 1).alias("position")

@@ -238,6 +238,17 @@ def test_pairs_ties_and_nothing(spark):
     assert neighbours.similar_pairs(same.limit(0), dim=2).count() == 0
 
 
+def test_a_block_is_ranked_whole(spark):
+    x = np.random.default_rng(4).normal(size=(3_000, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, "a", "v", [float(v) for v in x[i]], "c") for i in range(len(x))], VECTORS)
+    got = {(r.id, r.other) for r in neighbours.neighbours(df, 10, dim=16).where("id < 200").collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    want = {(i, int(j)) for i in range(200) for j in np.argsort(-s[i])[:10]}
+    assert len(got & want) >= 0.999 * len(want)
+
+
 def test_cells_come_in_order():
     rng = np.random.default_rng(1)
     a, b = rng.random(7), rng.random(5)
