@@ -11,7 +11,8 @@ Vectors of one group (say namespace and producer) are laid out in blocks of
 bounded size: a small group is one block; a large group is split along the
 centroids of a third codebook, of whole vectors, and a query goes only to the
 blocks whose cells come first in its order.  So no task holds more than a block
-and its queries.
+and its queries.  A cell larger than a block has several blocks, all of which
+its queries visit, in slices.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Centroids per half and of whole vectors; rows per block; blocks a query visits.
+#: Centroids per half and of whole vectors; rows per block; blocks a query visits, where all blocks of one cell count once.
 CENTROIDS, COARSE, BLOCK, VISITS = 32, 64, 16_000, 4
 #: Entries of a block that are ranked whole; the blocks of a salted cell are uneven.
 CANDIDATES = 2 * BLOCK
@@ -183,9 +184,11 @@ def neighbours(
     plan = _layout(counts, block)
     homes = placed.join(plan.select("grp", "c", "blocks"), ["grp", "c"])
     # A cell larger than a block is salted over several; all of them are visited when the cell is.
+    # Each of them meets its queries in as many slices; slice -1 is a block without slices.
     width = F.size("blocks")
     own = F.element_at("blocks", (F.pmod(F.xxhash64("id"), width) + 1).cast("int"))
-    entries = homes.select("grp", own.alias("block"), "id", "v", F.lit(True).alias("entry"))
+    slices = F.explode(F.when(width > 1, F.sequence(F.lit(0), width - 1)).otherwise(F.array(F.lit(-1))))
+    entries = homes.select("grp", own.alias("block"), slices.alias("slice"), "id", "v", F.lit(True).alias("entry"))
     single = plan.groupBy("grp").agg(F.max(F.size("blocks")).alias("w"), F.max(F.array_max("blocks")).alias("last"))
     routes = plan.groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("c", "blocks"))).alias("route"))
     big = single.where("last > 0").join(routes, "grp").select("grp", "route")
@@ -194,33 +197,40 @@ def neighbours(
         for pdf in batches:
             x = np.stack(pdf["v"].to_numpy()).astype(np.float32) if len(pdf) else np.zeros((0, dim), np.float32)
             near = distances(x, coarse).argsort(1, kind="stable")
-            take, to = [], []
+            take, to, width = [], [], []
             for n, cell_blocks in enumerate(pdf["route"]):
                 blocks = dict(cell_blocks)
-                goal: list[int] = []
+                goal: dict[int, int] = {}
+                seen = 0
                 for c in near[n]:
-                    goal += [b for b in blocks.get(int(c), ()) if b not in goal]
-                    if len(goal) >= visits:
+                    own = blocks.get(int(c), ())
+                    seen += any(b not in goal for b in own)
+                    goal |= {int(b): len(own) for b in own}
+                    if seen >= visits:
                         break
                 take += [n] * len(goal)
-                to += goal
+                to += goal.keys()
+                width += goal.values()
             out = pdf[["grp", "id", "v"]].iloc[take].reset_index(drop=True)
             out.insert(1, "block", np.array(to, dtype="int32"))
+            out.insert(2, "width", np.array(width, dtype="int32"))
             yield out
 
-    asked = placed.join(big, "grp").mapInPandas(route, "grp string, block int, id long, v array<float>")
-    queries = asked.select("grp", "block", "id", "v", F.lit(False).alias("entry"))
+    asked = placed.join(big, "grp").mapInPandas(route, "grp string, block int, width int, id long, v array<float>")
+    # Another hash than the one that salts the entries.
+    part = F.when(F.col("width") > 1, F.pmod(F.xxhash64("id", F.lit(1)), F.col("width")).cast("int")).otherwise(-1)
+    queries = asked.select("grp", "block", part.alias("slice"), "id", "v", F.lit(False).alias("entry"))
 
     def search(key_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x, ids = np.stack(pdf["v"].to_numpy()).astype(np.float32), pdf["id"].to_numpy()
         entry = pdf["entry"].to_numpy()
-        q = ~entry if (~entry).any() else entry
-        if not entry.any():
+        q = ~entry if (~entry).any() or key_[2] >= 0 else entry
+        if not entry.any() or not q.any():
             return pd.DataFrame({"id": [], "other": [], "similarity": []}).astype({"id": "int64", "other": "int64", "similarity": "float32"})
         at, other, s = Index(ids[entry], x[entry], c1, c2).search(ids[q], x[q], k, candidates)
         return pd.DataFrame({"id": ids[q][at], "other": other, "similarity": s})
 
-    found = entries.unionByName(queries).groupBy("grp", "block").applyInPandas(search, "id long, other long, similarity float")
+    found = entries.unionByName(queries).groupBy("grp", "block", "slice").applyInPandas(search, "id long, other long, similarity float")
     best = F.sort_array(F.collect_list(F.struct((-F.col("similarity")).alias("s"), F.col("other").alias("other"))))
     # At most k rows per id and visited block are gathered.
     top = found.groupBy("id").agg(F.slice(best, 1, k).alias("top"))

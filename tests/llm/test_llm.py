@@ -238,6 +238,27 @@ def test_pairs_ties_and_nothing(spark):
     assert neighbours.similar_pairs(same.limit(0), dim=2).count() == 0
 
 
+def test_near_equal_vectors_beyond_a_block(spark):
+    # One hot cell of several blocks, of which the nearest may stand anywhere; near cells are looked at as well.
+    rng = np.random.default_rng(8)
+    x = np.ones((5_000, 4)) + rng.normal(size=(5_000, 4)) * 0.001
+    x[4_000:] = rng.normal(size=(1_000, 4))
+    df = spark.createDataFrame([(i, "a", "v", [float(v) for v in x[i]], "c") for i in range(5_000)], VECTORS)
+    for block, visits, least in ((20_000, 4, 0.999), (1_000, 3, 0.97)):
+        got = defaultdict(list)
+        for r in neighbours.neighbours(df, 10, dim=4, block=block, visits=visits).collect():
+            got[r.id].append(r.other)
+        assert all(len(set(got[i])) == 10 for i in range(5_000))
+        u = x.astype(np.float32) / np.linalg.norm(x, axis=1)[:, None]
+        hits = []
+        for i in range(0, 5_000, 10):
+            s = u @ u[i]
+            s[i] = -9
+            tenth = np.partition(s, -10)[-10]
+            hits += [s[j] >= tenth - 2e-7 for j in got[i]]
+        assert np.mean(hits) >= least
+
+
 def test_a_block_is_ranked_whole(spark):
     x = np.random.default_rng(4).normal(size=(3_000, 16)).astype(np.float32)
     df = spark.createDataFrame([(i, "a", "v", [float(v) for v in x[i]], "c") for i in range(len(x))], VECTORS)
