@@ -49,7 +49,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scans.repaired(table(spark, sf_dir, "parsed_sections").select("section_id", "input_id", "text"))
+    return scans.repaired_items(*_items(spark, sf_dir)[:2])
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -430,3 +430,15 @@ def repaired(sections: DataFrame, key: str = "section_id", document: str = "inpu
     from pyspark.sql import types as T
 
     return joined.select(*sections.columns, "__folds").mapInPandas(mend, T.StructType([*sections.schema.fields, T.StructField("repaired", T.StringType())]))
+
+
+def repaired_items(sections: DataFrame, inputs: DataFrame) -> DataFrame:
+    """(item_kind, item_id, input_id, text, repaired) of every section and every input; copies of a row count once.
+
+    Each table has a lexicon and running headers of its own: sections are
+    parts of inputs, so together every line and word would count twice.
+    """
+    s = sections.select(F.lit("section").alias("item_kind"), F.col("section_id").alias("item_id"), "input_id", "text")
+    i = inputs.select(F.lit("input").alias("item_kind"), F.col("input_id").alias("item_id"), "input_id", "text")
+    s, i = (repaired(x.dropDuplicates(), "item_id") for x in (s, i))
+    return s.unionByName(i)

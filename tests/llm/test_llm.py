@@ -310,6 +310,18 @@ def test_noise_by_section(spark):
     assert scans.noise(df.limit(0)).count() == 0
 
 
+def test_inputs_are_repaired_as_well(spark):
+    words = "the manager keeps training records of each tenant until rejected"
+    s = spark.createDataFrame([(i, i, f"{words}. {words}.") for i in range(60)] + [(100, 50, "the m@nager keeps records.")], "section_id long, input_id long, text string")
+    rows = [(i, f"# {words}\n\n{words}. {words}.") for i in range(60)] + [(70, "the m@nager keeps\nthe mana-\nger keeps"), (71, None), (70, "the m@nager keeps\nthe mana-\nger keeps")]
+    got = scans.repaired_items(s, spark.createDataFrame(rows, "input_id long, text string")).collect()
+    fixed = {(r.item_kind, r.item_id): r.repaired for r in got}
+    assert len(got) == len(fixed) == 61 + 62
+    assert fixed["section", 100] == "the manager keeps records."
+    assert "m@nager" not in fixed["input", 70] and "mana-" not in fixed["input", 70]
+    assert fixed["input", 71] is None and fixed["input", 0] == rows[0][1]
+
+
 # 8: tokens
 
 @needs_ranks
