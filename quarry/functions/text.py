@@ -7,8 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Most terms a query keeps, and most characters of a text that are indexed.
-MAX_TERMS, MAX_INDEXED = 2_000, 200_000
+#: Most terms a query keeps.
+MAX_TERMS = 2_000
 #: A word of the simple text configuration.
 WORD = r"[\p{L}\p{N}]+"
 SEPARATOR = " › "
@@ -31,8 +31,8 @@ def occurrences(text: Column, term: str) -> Column:
 
 
 def words(text: Column) -> Column:
-    """The words of the indexed part of a text, in lower case."""
-    return F.regexp_extract_all(F.lower(F.substring(text, 1, MAX_INDEXED)), F.lit(f"({WORD})"), F.lit(1))
+    """The words of the whole text, in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1))
 
 
 def contextual(path: Column, body: Column) -> Column:

@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.functions import filters
 from quarry.functions import text as T
@@ -42,6 +43,12 @@ def test_lexical_needs_all_words_and_knows_or_not_phrase(spark):
     assert retrieval.lexical(docs(spark), "x " * 5000, 10).count() == 0
 
 
+def test_words_far_into_a_text_count(spark):
+    df = spark.range(1).select(F.concat(F.repeat(F.lit("cat "), 60_000), F.lit("zebra crossing")).alias("text"))
+    last = df.select(T.words(F.col("text")).alias("w")).select(F.size("w"), F.element_at("w", -2), F.element_at("w", -1)).first()
+    assert tuple(last) == (60_002, "zebra", "crossing")
+
+
 def test_dense_drops_zero_and_unlike_vectors(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0]), (4, None), (5, [0.6, 0.8]), (6, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [(r.id, r.rank) for r in retrieval.dense(v, [1.0, 0.0], 10).orderBy("rank").collect()] == [(1, 0), (6, 1), (5, 2)]
