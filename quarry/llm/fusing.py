@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.ranks import slotted_sum
+from quarry.session import stage
 
 #: Percentile difference from which one record is wholly preferred to another.
 REACH = 0.25
-#: Rows of a plan beyond which, and if it holds more than a HOT_SHARE of all rows, its ranks are made in slots.
-GROUP, HOT_SHARE = 50_000, 1e-4
+#: Rows of a plan beyond which its prefix sums are made in slots; names of such plans that are broadcast at most.
+GROUP, NAMED = 50_000, 100_000
 
 
 def usable(candidates: DataFrame) -> DataFrame:
@@ -109,34 +110,50 @@ def _weighted(flow: DataFrame, policies: DataFrame) -> DataFrame:
 
 
 def _flows_in_place(rows: DataFrame, policies: DataFrame, reach: float) -> DataFrame:
-    """Net flows of plans that fit in a task each: one shuffle by plan, and windows within it."""
+    """Net flows of plans that fit in a task each: one shuffle by plan, and running sums within it.
+
+    Every level stands three times in its method's order of percentiles, as
+    itself and moved by ``reach`` either way; the prefix sums at the three
+    points are all that its flow needs, so time is that of the sort.
+    """
     best = usable(rows.repartition("plan_id"))
-    plan, method = Window.partitionBy("plan_id", "namespace"), Window.partitionBy(*KEYS)
+    plan = Window.partitionBy("plan_id", "namespace")
     first = F.row_number().over(Window.partitionBy("plan_id", "namespace", "record_id").orderBy("op_kind"))
+    method = Window.partitionBy(*KEYS)
     sized = best.withColumn("new", (first == 1).cast("int")).withColumns({"all": F.sum("new").over(plan), "n": F.count("*").over(method)})
-    by_score = method.orderBy("score")
+    below = F.rank().over(method.orderBy("score")) - 1
     same = F.count("*").over(Window.partitionBy(*KEYS, "score"))
-    ranked = sized.withColumns({"below": F.rank().over(by_score) - 1, "same": same, "missing": F.col("all") - F.col("n")})
-    p, none = F.col("pct"), F.col("none")
-    ranked = ranked.withColumns(
-        {"pct": (F.col("missing") + F.col("below") + F.col("same") / 2) / F.col("all"), "none": F.col("missing") / 2 / F.col("all")}
+    one = F.row_number().over(Window.partitionBy(*KEYS, "score").orderBy("record_id"))
+    missing = F.col("all") - F.col("n")
+    ranked = sized.withColumns({"pct": (missing + below + same / 2) / F.col("all"), "none": missing / 2 / F.col("all"), "one": one, "same": same, "missing": missing})
+    # The records that the method did not return are one level more; its first record brings it along.
+    point = lambda kind, x, c: F.struct(F.lit(kind).alias("point"), x.alias("x"), c.cast("double").alias("c"))
+    nil, p, none = F.lit(0), F.col("pct"), F.col("none")
+    head = (F.col("one") == 1) & (F.rank().over(method.orderBy("pct")) == 1)
+    led = ranked.withColumn("head", head)
+    points = F.filter(
+        F.array(
+            point("own", p, F.lit(1)), point("low", p - reach, nil), point("high", p + reach, nil),
+            F.when(F.col("head") & (F.col("missing") > 0), point("none", none, F.col("missing"))),
+            F.when(F.col("head") & (F.col("missing") > 0), point("nonehigh", none + reach, nil)),
+        ),
+        lambda s: s.isNotNull(),
+    )
+    spread = led.select(*KEYS, "record_id", "all", "n", "missing", "pct", "none", F.inline(points))
+    # At one x what has a count comes first; a range frame up to the row takes in all of them.
+    upto = method.orderBy("x", F.col("c") == 0)
+    summed = spread.withColumns({"count_to": F.sum("c").over(upto), "sum_to": F.sum(F.col("c") * F.col("x")).over(upto)})
+    at = lambda v, k: F.max(F.when(F.col("point") == k, F.col(v)))
+    wide = summed.groupBy(*KEYS, "record_id").agg(
+        *[at(v, k).alias(f"{v}_{k}") for v in ("count_to", "sum_to") for k in ("low", "own", "high", "none", "nonehigh")], *[F.max(c).alias(c) for c in ("all", "n", "missing", "pct", "none")]
     )
-
-    def framed(what: str, bounds: str):
-        return F.expr(f"{what} OVER (PARTITION BY {', '.join(KEYS)} ORDER BY pct RANGE BETWEEN {bounds})")
-
-    low, high = f"{reach!r}D PRECEDING AND CURRENT ROW", f"CURRENT ROW AND {reach!r}D FOLLOWING"
-    n_low, s_low = framed("count(*)", low), framed("sum(pct)", low)
-    n_high, s_high = framed("count(*)", high), framed("sum(pct)", high)
-    n_upto = framed("count(*)", "UNBOUNDED PRECEDING AND CURRENT ROW")
-    over_none = F.least((p - none) / reach, F.lit(1.0))
-    wins = (n_low * p - s_low) / reach + (n_upto - n_low) + F.col("missing") * over_none
-    losses = (s_high - n_high * p) / reach + (F.col("n") - (n_upto - F.col("same")) - n_high)
+    N, S = (lambda k: F.col(f"count_to_{k}")), (lambda k: F.col(f"sum_to_{k}"))
+    wins = N("low") + ((N("own") - N("low")) * p - (S("own") - S("low"))) / reach
+    losses = F.col("all") - N("high") + ((S("high") - S("own")) - (N("high") - N("own")) * p) / reach
     others = F.greatest(F.col("all") - 1, F.lit(1))
-    flow = ranked.select(
-        *KEYS, "record_id", "n", ((wins - losses) / others).alias("flow"), F.when(F.col("missing") > 0, -F.sum(over_none).over(method) / others).otherwise(F.lit(0.0)).alias("lost")
-    )
-    weighted = _weighted(flow, policies)
+    given = F.col("all") - N("nonehigh") + ((S("nonehigh") - S("none")) - (N("nonehigh") - N("none")) * none) / reach
+    flow = wide.select(*KEYS, "record_id", "n", ((wins - losses) / others).alias("flow"), (-given / others).alias("lost"))
+    weighted = _weighted(flow.withColumn("lost", F.coalesce(F.max("lost").over(method), F.lit(0.0))), policies)
     # What a record gets for a method that did not return it is the same for all, so it is added once per plan.
     floor = F.sum(F.col("lost") * F.col("weight") / F.col("n")).over(plan)
     gained = weighted.withColumn("floor", floor).groupBy("plan_id", "namespace", "record_id")
@@ -166,15 +183,18 @@ def flows(candidates: DataFrame, policies: DataFrame, reach: float = REACH) -> D
     """(plan_id, namespace, record_id, net_flow) for every record that takes part in a plan.
 
     Net flows are rounded to 9 digits, so that ties don't hang on summing
-    order.  Hot plans are counted first; there are at most 1 / HOT_SHARE.
+    order.  All plans are ranked by prefix sums; those of more than ``GROUP``
+    rows take them in slots, so that no plan must fit in a task.
     """
     rows = candidates.select("plan_id", "plan_namespace", "namespace", "op_kind", "record_id", "score")
     counts = rows.groupBy("plan_id").agg(F.count("*").alias("n")).where((F.col("n") > GROUP) & F.col("plan_id").isNotNull())
-    hot = [r[0] for r in counts.orderBy(F.col("n").desc(), "plan_id").limit(int(1 / HOT_SHARE)).select("plan_id").collect()]
-    if not hot:
+    hot = stage(counts.select("plan_id"), "hot")
+    many = hot.count()
+    if not many:
         return _flows_in_place(rows, policies, reach)
-    named = F.broadcast(rows.sparkSession.createDataFrame([(h,) for h in hot], "plan_id string"))
-    rest, large = rows.join(named, "plan_id", "left_anti"), rows.join(named, "plan_id", "left_semi")
+    # Few names are sent to every task; many are joined by a shuffle.
+    hot = F.broadcast(hot) if many <= NAMED else hot
+    rest, large = rows.join(hot, "plan_id", "left_anti"), rows.join(hot, "plan_id", "left_semi")
     return _flows_in_place(rest, policies, reach).unionByName(_flows_in_slots(large, policies, reach))
 
 
