@@ -6,7 +6,8 @@
 3. Bands are routed by hash range as packed arrays, a few bytes an entry, and
    collisions are found by sorting numbers, not by joining rows.
 4. A pair whose signatures agree in enough bands is verified exactly on its
-   shingles.
+   shingles.  Members of a crowded bucket are not all paired: they are joined
+   on the rarest of their shingles, which loses none that is alike.
 5. Verified pairs are expanded to rows, or grouped by alternating large-star
    and small-star.
 """
@@ -19,14 +20,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.session import cut, stage
 
 #: Minima per band, bands, and bands in which two signatures must agree.
 ROWS, BANDS, AGREE = 4, 96, 2
-#: Entries of one hash range, and representatives of one bucket, that a task takes at once.
+#: Entries of one hash range that a task takes at once, and ids of one bucket that are paired directly.
 RANGE, CROWD = 1_000_000, 256
 #: Ids of one packed batch; their places fit in two bytes.
 BATCH = 40_000
@@ -127,7 +128,7 @@ def colliding(texts: DataFrame, *, size: int, ranges: int, rows: int = ROWS, ban
     Entries travel as arrays, one binary row per batch and hash range: five
     bytes of key and two that point into the batch's ids.  A key that is
     crowded within a batch leaves only a flag in its range; its ids go to
-    groups of their own, so no task gathers all ids of a hot key.
+    other ranges, spread by batch, so no task gathers all ids of a hot key.
     """
     a = coefficients(rows * bands, seed)
     step = np.uint64(2**64 // ranges + 1)
@@ -173,11 +174,20 @@ def colliding(texts: DataFrame, *, size: int, ranges: int, rows: int = ROWS, ban
         none = pd.array([None] * len(a_), "Int64")
         return pd.DataFrame({"a": a_, "b": none if b_ is None else pd.array(b_, "Int64"), "crowd": none if crowd is None else pd.array(crowd, "Int64")})
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # A partition is one range, with the ids of some crowded keys.
+        held = [x for x in batches if len(x)]
+        if not held:
+            return
+        pdf = pd.concat(held, ignore_index=True)
+        marked = pdf["r"] >= ranges
+        for ids_, key_ in zip(pdf["ids"][marked], pdf["keys"][marked]):
+            own = np.frombuffer(ids_, np.int64)
+            yield frame(own, None, np.repeat(np.frombuffer(key_, np.int64)[0], len(own)))
+        pdf = pdf[~marked]
+        if not len(pdf):
+            return
         r = int(pdf["r"].iloc[0])
-        if r >= ranges:
-            parts = [np.frombuffer(x, np.int64) for x in pdf["ids"]]
-            return frame(np.concatenate(parts), None, np.repeat([np.frombuffer(k, np.int64)[0] for k in pdf["keys"]], [len(x) for x in parts]))
         keys = np.concatenate([_unplanes(x, 5) for x in pdf["keys"]])
         ids = np.concatenate([np.frombuffer(t, np.int64)[_unplanes(x, 2)] for x, t in zip(pdf["local"], pdf["ids"])])
         at = np.lexsort((ids, keys))
@@ -189,17 +199,17 @@ def colliding(texts: DataFrame, *, size: int, ranges: int, rows: int = ROWS, ban
         # The flag is the lowest id, so it comes first.
         hot = (length > CROWD) | (ids[start] == FLAG)
         crowd = np.repeat(hot, length) & (ids != FLAG)
-        parts = [frame(ids[crowd], None, keys[crowd].astype(np.int64) + (r << 40))]
+        yield frame(ids[crowd], None, keys[crowd].astype(np.int64) + (r << 40))
         pair = np.where(hot, 0, length)
         for gap in range(1, int(pair.max(initial=1))):
             at = np.flatnonzero(pair > gap)
             many = pair[at] - gap
             first = np.repeat(start[at], many) + (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
-            parts.append(frame(ids[first], ids[first + gap], None))
-        return pd.concat(parts, ignore_index=True)
+            yield frame(ids[first], ids[first + gap], None)
 
     blobs = texts.select("id", "text").mapInPandas(sign, "r int, keys binary, local binary, ids binary")
-    return blobs.groupBy("r").applyInPandas(meet, "a long, b long, crowd long")
+    # Each range is a partition of its own, so their number grows with the input and their size does not; crowds follow modulo.
+    return blobs.repartitionById(ranges, "r").mapInPandas(meet, "a long, b long, crowd long")
 
 
 def jaccard(x: set, y: set) -> float:
@@ -218,8 +228,11 @@ def similar_classes(texts: DataFrame, threshold: float, size: int, rows: int = R
     ranges = max(12, n * bands // RANGE)
     met = stage(colliding(texts, size=size, ranges=ranges, rows=rows, bands=bands), "met")
     pairs = met.where("crowd is null").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= agree).select("a", "b")
-    # One text per id; copies are reduced before the shuffle.
-    one = texts.groupBy("id").agg(F.min("text").alias("text"))
+    crowd = met.where("crowd is not null").select(F.col("a").alias("id")).distinct()
+    if not crowd.isEmpty():
+        pairs = pairs.unionByName(_prefix_pairs(_of(texts, stage(crowd, "crowd")), threshold, size)).distinct()
+    pairs = stage(pairs, "pairs")
+    one = _of(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     first = pairs.join(one.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     both = first.join(one.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
@@ -235,69 +248,88 @@ def similar_classes(texts: DataFrame, threshold: float, size: int, rows: int = R
             out = pdf[["a", "b"]].assign(likeness=np.array(score, dtype=float))
             yield out[out["likeness"] >= threshold]
 
-    checked = both.mapInPandas(verify, "a long, b long, likeness double")
-    if met.where("crowd is not null").limit(1).count() == 0:
-        return checked
-    return checked.unionByName(_crowds(met, one, threshold, size)).groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
+    return both.mapInPandas(verify, "a long, b long, likeness double")
 
 
-def _crowds(met: DataFrame, one: DataFrame, threshold: float, size: int, block: int = 128) -> DataFrame:
-    """The like pairs of crowded buckets: members meet block by block, and only like pairs are emitted."""
-    crowd = met.where("crowd is not null").select("crowd", F.col("a").alias("id"))
-    counts = crowd.groupBy("crowd").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = crowd.join(counts, "crowd").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(one, "id")
-    # Each member goes to the meetings of its block with every block, once for each.
-    meetings = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meetings = meetings.select("crowd", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own", "id", "text")
+#: Ids that are sent to every task at most (eight bytes each); more are joined by a shuffle.
+NAMED = 1_000_000
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = [_grams(t, size) for t in pdf["text"]]
-        ids, own, x, y = pdf["id"].tolist(), pdf["own"].tolist(), pdf["x"].iloc[0], pdf["y"].iloc[0]
-        out = []
-        for m in range(len(ids)):
-            for n in range(m + 1, len(ids)):
-                if ids[m] != ids[n] and (x == y or own[m] != own[n]):
-                    small, large = sorted((len(sets[m]), len(sets[n])))
-                    if small >= threshold * large and (s := jaccard(sets[m], sets[n])) >= threshold:
-                        out.append((min(ids[m], ids[n]), max(ids[m], ids[n]), s))
-        return pd.DataFrame(out, columns=["a", "b", "likeness"]).astype({"a": "int64", "b": "int64", "likeness": "float64"})
 
-    return meetings.groupBy("crowd", "x", "y").applyInPandas(compare, "a long, b long, likeness double")
+def _of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text), once for each of ``ids``; where these are few, other texts are dropped before any shuffle."""
+    known = ids if ids.count() > NAMED else F.broadcast(ids)
+    return texts.join(known, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
 
 
-#: Rows of one block of a class; hot classes meet block by block.
-COPIES = 64
+def _prefix_pairs(texts: DataFrame, threshold: float, size: int) -> DataFrame:
+    """(a, b), a < b: candidates among the ids of crowded buckets, of which none that is alike is missing.
+
+    Pairing all members of a crowd would be quadratic.  Two sets that are
+    alike by t share a member among the first |x| - ceil(t |x|) + 1 of each in
+    any common order.  In the order of rising frequency these are the rarest,
+    so what a crowd has in common doesn't bring its members together, but what
+    a few of them share does.
+    """
+
+    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "grams": [shingles(t, size).astype(np.int64) for t in pdf["text"]]})
+
+    grams = stage(texts.mapInPandas(cut_up, "id long, grams array<long>"), "grams")
+    each = grams.select("id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    often = each.groupBy("gram").agg(F.count("*").alias("often")).where(F.col("often") > 1)
+    order = Window.partitionBy("id").orderBy("often", "gram")
+    # A member that only one text has comes first and meets nobody; so many places of the prefix are gone.
+    shared = each.join(often, "gram").withColumn("place", F.row_number().over(order))
+    alone = F.col("n") - F.count("*").over(Window.partitionBy("id"))
+    room = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
+    first = shared.withColumn("alone", alone).where(F.col("place") + F.col("alone") <= room).select("id", "n", "gram")
+    first = stage(first, "prefixes")
+    a, b = first.select(F.col("id").alias("a"), F.col("n").alias("na"), "gram"), first.select(F.col("id").alias("b"), F.col("n").alias("nb"), "gram")
+    close = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)
+    return a.join(b, "gram").where(close).select("a", "b").distinct()
+
+
+#: A class of more equal texts than this is given by representatives and membership.
+COPIES = 1_000
 
 
-def similar_rows(records: DataFrame, threshold: float = 0.5, size: int = 3, **how) -> DataFrame:
+def similar_rows(records: DataFrame, threshold: float = 0.5, size: int = 3, copies: int = COPIES, **how) -> DataFrame:
     """(row_id_a, row_id_b), a < b: rows of different source_id with likeness of body_text >= threshold.
 
     Likeness is the Jaccard similarity of the sets of runs of ``size`` words.
     A row counts once however often it is repeated; null texts, texts with
     fewer words, and rows with a null row_id or source_id take no part.
 
-    Rows of one class (the same text) are all alike.  Every pair is given;
-    classes are cut into blocks of about ``COPIES`` rows, so that the pairs of
-    a class of very many rows are made by many tasks.
+    All pairs are given, but for classes of more than ``copies`` rows of the
+    same text, whose pairs would be quadratic: these take part by two
+    representatives, the lowest rows of two sources (of its one source, if it
+    has no second), and every other row of the class is paired with these.
+    So no link between different texts is lost, nor a row that has one.
     """
     good = records.where(F.col("row_id").isNotNull() & F.col("source_id").isNotNull() & F.col("body_text").isNotNull())
     texts = good.select(digest("body_text").alias("id"), F.col("body_text").alias("text"))
-    rows = good.where(_wordy("body_text", size)).select("row_id", "source_id", digest("body_text").alias("id"))
-    # One narrow shuffle by class serves the copies, the class sizes and their join.
-    rows = rows.repartition("id").dropDuplicates(["id", "row_id", "source_id"])
-    sizes = rows.groupBy("id").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / COPIES).cast("int"))
-    members = rows.join(sizes, "id").withColumn("block", F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int"))
+    rows = good.where(_wordy("body_text", size)).select("row_id", "source_id", digest("body_text").alias("id")).distinct()
+    rows = stage(rows, "rows")
+    sizes = rows.groupBy("id").agg(F.count("*").alias("n"))
     near = similar_classes(texts, threshold, size, **how).select("a", "b")
     # A class of several rows also meets itself.
     both = near.unionByName(sizes.where("n > 1").select(F.col("id").alias("a"), F.col("id").alias("b")))
-    for c in "ab":
-        both = both.join(sizes.select(F.col("id").alias(c), F.col("blocks").alias(f"n{c}")), c)
-    blocks = lambda c: F.explode(F.sequence(F.lit(0), F.col(f"n{c}") - 1))
-    meetings = both.withColumn("xa", blocks("a")).withColumn("xb", blocks("b")).where("a <> b or xa <= xb")
-    side = lambda c: members.select(F.col("id").alias(c), F.col("block").alias(f"x{c}"), F.col("row_id").alias(f"r{c}"), F.col("source_id").alias(f"s{c}"))
-    met = meetings.select("a", "b", "xa", "xb").join(side("a"), ["a", "xa"]).join(side("b"), ["b", "xb"])
-    every = met.where("sa <> sb and ra <> rb and (a <> b or xa < xb or ra < rb)")
-    return every.select(F.least("ra", "rb").alias("row_id_a"), F.greatest("ra", "rb").alias("row_id_b")).distinct()
+    members, hot = rows, sizes.where(F.col("n") > copies).select("id")
+    every = None
+    if not hot.isEmpty():
+        large = rows.join(hot, "id", "left_semi")
+        # The window keeps two rows a class in each partition before it shuffles.
+        sources = large.groupBy("id", "source_id").agg(F.min("row_id").alias("row_id"))
+        heads = sources.withColumn("p", F.row_number().over(Window.partitionBy("id").orderBy("row_id", "source_id"))).where("p <= 2")
+        heads = stage(heads.select("row_id", "source_id", "id"), "heads")
+        members = rows.join(hot, "id", "left_anti").unionByName(heads)
+        every = large.select("id", F.col("row_id").alias("ra"), F.col("source_id").alias("sa"))
+        every = every.join(heads.select("id", F.col("row_id").alias("rb"), F.col("source_id").alias("sb")), "id").where("sa <> sb and ra <> rb").select("ra", "rb")
+    side = lambda c: members.select(F.col("id").alias(c), F.col("row_id").alias(f"r{c}"), F.col("source_id").alias(f"s{c}"))
+    met = both.join(side("a"), "a").join(side("b"), "b").where("sa <> sb and ra <> rb and (a <> b or ra < rb)").select("ra", "rb")
+    met = met if every is None else met.unionByName(every)
+    return met.select(F.least("ra", "rb").alias("row_id_a"), F.greatest("ra", "rb").alias("row_id_b")).distinct()
 
 
 def components(pairs: DataFrame, a: str = "a", b: str = "b", most: int = 50) -> DataFrame:

@@ -157,13 +157,31 @@ def test_similar_rows_against_brute_force(spark, monkeypatch, crowd):
     assert got == brute_pairs(rows)
 
 
-def test_many_copies_lose_no_row(spark, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "COPIES", 4)
+def test_hot_classes_are_linked_by_representatives(spark):
+    # A (20 rows) and its variants B (one row, of the source of A's lowest row) and C (30 rows).
     text = " ".join(f"w{i}" for i in range(40))
-    rows = [(i, f"s{i % 3}", text) for i in range(20)] + [(50, "s7", text + " end")]
-    got = {tuple(r) for r in near_duplicates.similar_rows(spark.createDataFrame(rows, RECORDS)).collect()}
-    assert got <= brute_pairs(rows)
+    rows = [(i, "s1" if i % 2 else "s0", text) for i in range(20)] + [(50, "s0", text + " end")] + [(60 + i, f"s{i % 3}", text + " or more") for i in range(30)]
+    got = {tuple(r) for r in near_duplicates.similar_rows(spark.createDataFrame(rows, RECORDS), copies=6).collect()}
+    want = brute_pairs(rows)
+    assert got <= want and len(got) < len(want)
     assert {i for pair in got for i in pair} == {r[0] for r in rows}
+    kind = {i: t for i, _, t in rows}
+    assert {frozenset((kind[a], kind[b])) for a, b in got} == {frozenset((kind[a], kind[b])) for a, b in want}
+
+
+def test_crowds_are_joined_by_rare_shingles(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "CROWD", 3)
+    rng = random.Random(9)
+    shared = [f"t{i}" for i in range(40)]
+    # All share a template, which alone doesn't make them alike; families of three do.
+    rows = []
+    for f in range(25):
+        own = [f"f{f}x{i}" for i in range(45)]
+        for v in range(3):
+            own[rng.randrange(45)] = "other"
+            rows.append((len(rows), f"s{v}", " ".join(shared + own)))
+    rows += [(200 + i, f"s{i}", " ".join(shared)) for i in range(3)]
+    assert {tuple(r) for r in near_duplicates.similar_rows(spark.createDataFrame(rows, RECORDS)).collect()} == brute_pairs(rows)
 
 
 def test_large_classes_give_all_pairs(spark):
