@@ -316,10 +316,10 @@ LEXICON = dict.fromkeys("the manager keeps training records of each tenant until
 def test_repair_of_a_scanned_page():
     reader = scans.Reader(LEXICON)
     text = "The m@nager keeps train-\ning records of each\n\n- 7 -\n\nfenant until they are rejected by on-\nboarding and the read-\nonly line."
-    fixed = scans.repair(text, reader, set())
+    fixed = scans.repair(text, reader, {3})
     assert fixed == "The manager keeps training records of each tenant until they are rejected by onboarding and the read-only line."
     hyphen, chars, edge = scans.inspect(text, reader)
-    assert hyphen and chars and any(sure for _, sure in edge)
+    assert hyphen and chars and (3, "", "-#-", 7) in [c[:4] for c in edge]
 
 
 @pytest.mark.parametrize("text", ["", "The manager keeps\ntraining records.", "| a | 1 |\n|---|---|\n| b | 2 |", "12\n13\n14", "Items l07, O5x and rn53 are part codes.", "see read-\nonly line", "```\nm@nager\n```", "aGVsbG8" * 3000])
@@ -340,6 +340,27 @@ def test_noise_by_section(spark):
     assert scans.noise(df.limit(0)).count() == 0
 
 
+def test_furniture_repeats_or_counts_up(spark):
+    body = "the manager keeps training records of each tenant until they are rejected by onboarding"
+    page = lambda n, head: f"{body} and so\n\n{head}\n\n{n}\n\n{body}."
+    rows = [(1, 1, page(4, "Records Manua1 2020")), (2, 1, page(5, "Records Manual 2020")), (3, 1, f"{body}.\n\nRecords Manual 2O20")]
+    rows += [(10 + i, 9, f"{body}.\n\n{n}\n\n{body}.") for i, n in enumerate((70, 15, 3))]  # numbers, but no sequence
+    rows += [(20 + i, 20 + i, f"{body}.\n\nBack to top\n\n{body}.\n\nBack to top") for i in range(12)]
+    rows += [(40, None, f"{body}.\n\n7\n\n{body}."), (41, None, f"{body}.\n\n8\n\n{body}.")]
+    df = spark.createDataFrame(rows, "section_id long, input_id long, text string")
+    got = {r.section_id for r in scans.noise(df).where("noise = 'furniture'").collect()}
+    assert got == {1, 2, 3, 40, 41}
+    fixed = {r.section_id: r.repaired for r in scans.repaired(df).collect()}
+    assert fixed[1] == f"{body} and so {body}." and fixed[20] == rows[6][2]
+
+
+def test_misread_words_of_any_length_and_number():
+    reader = scans.Reader({"internationalisation": 400, "modern": 400, "modem": 30, "the": 900})
+    assert reader.reading("internat1onal1sat1on") == "internationalisation" and reader.reading("iiitemationa1isation") is None
+    assert reader.reading("rnodern") == "modern" and reader.reading("modem") is None and reader.reading("Mode rn".replace(" ", "")) is None
+    assert reader.reading("clocl") is None
+
+
 def test_inputs_are_repaired_as_well(spark):
     words = "the manager keeps training records of each tenant until rejected"
     s = spark.createDataFrame([(i, i, f"{words}. {words}.") for i in range(60)] + [(100, 50, "the m@nager keeps records.")], "section_id long, input_id long, text string")
