@@ -2,14 +2,18 @@
 
 A ``BucketStore`` is a directory with immutable data files and numbered
 manifests.  The base is hashed by key (namespace, source_id, stable_key) into
-buckets; a batch of changes is routed to its buckets, only those are merged
-and rewritten, and one new manifest makes all replacement files visible at
-once.  A reader sees the manifest with the highest number, whole or not at all.
+buckets; a batch of changes is routed to its buckets, only those are read,
+merged and rewritten, and one new manifest makes all replacement files visible
+at once.  A reader sees the manifest with the highest number, whole or not at
+all.
 
 Because deliveries repeat and arrive late, a bucket keeps its valid
-operations, and the live table of a bucket is folded from them again whenever
-the bucket is touched.  The result depends only on the set of operations ever
-delivered, not on the number, order or grouping of deliveries.
+operations, and the live rows of a bucket are folded from them again whenever
+the bucket is touched.  What reaches across spans has an index, bucketed by its
+own hash and read and rewritten in the same way: the first operation of every
+idempotency key, the spans in which a record was ever written, and the forgets
+of a record.  The result depends only on the set of operations ever delivered,
+not on the number, order or grouping of deliveries.
 """
 
 from __future__ import annotations
@@ -21,19 +25,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.session import stage
 from quarry.sources import files
 
 SPAN = ["namespace", "source_id", "stable_key"]
-#: A span is folded in pieces of so many op_seq values if it has more operations than this, and more than
-#: a HOT_SHARE of all; so at most 1 / HOT_SHARE spans are.
-PIECE, HOT_SHARE = 5_000, 1e-4
-
-_OP_SCHEMA = (
-    "bucket int, h1 long, h2 long, namespace string, op_seq long, idempotency_key string, kind string, record_id string, "
-    "old_id string, source_id string, stable_key string"
-)
-_FORGET_SCHEMA = "namespace string, op_seq long, idempotency_key string, target_id string"
-_LIVE_SCHEMA = "namespace string, source_id string, stable_key string, record_id string, op_seq long"
+#: A span of more operations than this is folded in pieces of so many op_seq values.
+PIECE = 5_000
+#: Buckets of a new store at least, and deliveries of its first batch per bucket; names of hot spans that are broadcast at most.
+BUCKETS, PER_BUCKET, NAMED = 64, 100_000, 100_000
+
+_SCHEMAS = {
+    "ops": "bucket int, h1 long, h2 long, op_seq long, kind string, record_id string, rh long, oh long, namespace string, source_id string, stable_key string",
+    "live": "namespace string, source_id string, stable_key string, record_id string, op_seq long",
+    "keys": "k1 long, k2 long, op_seq long, bucket int, h1 long, h2 long, r1 long, r2 long",
+    "records": "r1 long, r2 long, bucket int, h1 long, h2 long",
+    "forgets": "r1 long, r2 long, op_seq long, oh long",
+}
 
 #: How rows are laid out: all of a span's rows, or of a hot span's piece, in one task; few buckets a task.
 _HOME = ["bucket", "sub", "piece"]
@@ -41,91 +48,71 @@ _SPAN_KEY = [*_HOME, "h1", "h2"]
 
 
 def normalise(changes: DataFrame, buckets: int) -> DataFrame:
-    """The deliveries as operations, with bucket and hashes of their span; repeats are still there.
+    """The deliveries as operations, with bucket and hashes; repeats are still there.
 
     A row takes part only with a namespace, an op_seq, a known kind and the
     ids that kind needs; anything else is an empty operation and changes
-    nothing.  A forget has no bucket of its own.
+    nothing.  A forget has no bucket of its own.  k1 and k2 name the
+    idempotency key, r1 and r2 the record written or forgotten, both within
+    their namespace; rh and oh stand for record_id, and for old_id or target_id.
     """
     kind = F.lower(F.trim("kind"))
     span = kind != "forget"
-    whole = F.when(span, F.col("record_id").isNotNull() & F.col("source_id").isNotNull() & F.col("stable_key").isNotNull()).otherwise(
-        F.col("target_id").isNotNull()
-    )
-    h1 = F.xxhash64(*SPAN)
+    record = F.when(span, F.col("record_id")).otherwise(F.col("target_id"))
+    whole = record.isNotNull() & (~span | (F.col("source_id").isNotNull() & F.col("stable_key").isNotNull()))
+    h1, key = F.xxhash64(*SPAN), F.col("idempotency_key")
+    old = F.when(span, F.when(kind == "supersede", F.col("old_id"))).otherwise(F.col("target_id"))
     return changes.where(F.col("namespace").isNotNull() & F.col("op_seq").isNotNull() & kind.isin("assert", "supersede", "forget") & whole).select(
         F.when(span, F.pmod(h1, F.lit(buckets)).cast("int")).alias("bucket"),
         F.when(span, h1).alias("h1"),
         F.when(span, F.xxhash64("stable_key", "source_id", F.lit(1))).alias("h2"),
-        "namespace",
         F.col("op_seq").cast("long").alias("op_seq"),
-        "idempotency_key",
         kind.alias("kind"),
         F.when(span, F.col("record_id")).alias("record_id"),
-        F.when(kind == "supersede", F.col("old_id")).alias("old_id"),
+        F.when(span, F.xxhash64("record_id")).alias("rh"),
+        F.when(old.isNotNull(), F.xxhash64(old)).alias("oh"),
+        "namespace",
         F.when(span, F.col("source_id")).alias("source_id"),
         F.when(span, F.col("stable_key")).alias("stable_key"),
-        F.when(~span, F.col("target_id")).alias("target_id"),
+        F.when(key.isNotNull(), F.xxhash64("namespace", key)).alias("k1"),
+        F.when(key.isNotNull(), F.xxhash64(key, "namespace", F.lit(1))).alias("k2"),
+        F.xxhash64("namespace", record).alias("r1"),
+        F.xxhash64(record, "namespace", F.lit(1)).alias("r2"),
     )
 
 
-def retries(ops: DataFrame) -> DataFrame:
-    """(k1, k2, bucket, h1, h2, namespace, op_seq) of the operations that repeat an idempotency key of a lower op_seq.
+def first_of_keys(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(first, lost): the operation of lowest op_seq of every key, and all others that have the key.
 
-    Only hashes and numbers are shuffled; a key is two 64-bit hashes.
+    Only hashes and numbers are shuffled, and keys are reduced before.
     """
-    keyed = ops.where(F.col("idempotency_key").isNotNull()).select(
-        F.xxhash64("namespace", "idempotency_key").alias("k1"),
-        F.xxhash64("idempotency_key", "namespace", F.lit(1)).alias("k2"),
-        "bucket", "h1", "h2", "namespace", "op_seq",
-    )
-    first = keyed.groupBy("k1", "k2").agg(F.min("op_seq").alias("first"), F.max("op_seq").alias("last"))
-    repeated = first.where(F.col("last") > F.col("first")).select("k1", "k2", "first")
-    return keyed.join(repeated, ["k1", "k2"]).where(F.col("op_seq") > F.col("first")).drop("first").distinct()
-
-
-def expand_forgets(forgets: DataFrame, ops: DataFrame) -> DataFrame:
-    """(bucket, h1, h2, op_seq, old_id): a forget goes to each span of its namespace in which its target was ever written."""
-    seen = ops.where(F.col("kind") != "forget").select(
-        F.xxhash64("namespace", "record_id").alias("r1"), F.xxhash64("record_id", "namespace", F.lit(1)).alias("r2"), "bucket", "h1", "h2"
-    )
-    asked = forgets.select(
-        F.xxhash64("namespace", "target_id").alias("r1"), F.xxhash64("target_id", "namespace", F.lit(1)).alias("r2"), "op_seq", F.col("target_id").alias("old_id")
-    )
-    return asked.distinct().join(seen.distinct(), ["r1", "r2"]).select("bucket", "h1", "h2", "op_seq", "old_id")
+    place = F.struct("op_seq", "bucket", "h1", "h2", "r1", "r2")
+    first = keyed.groupBy("k1", "k2").agg(F.min(place).alias("f"), F.max("op_seq").alias("last"))
+    repeated = first.where(F.col("last") > F.col("f.op_seq")).select("k1", "k2", F.col("f.op_seq").alias("first"))
+    lost = keyed.join(repeated, ["k1", "k2"]).where(F.col("op_seq") > F.col("first")).select("op_seq", "bucket", "h1", "h2", "r1", "r2").distinct()
+    return first.select("k1", "k2", "f.*"), lost
 
 
-def hot_spans(ops: DataFrame) -> list[tuple[int, int, int]]:
-    """(bucket, h1, h2) of the spans to be folded in pieces; at most 1 / HOT_SHARE, as each holds more than that share."""
-    counts = ops.where(F.col("bucket").isNotNull()).groupBy("bucket", "h1", "h2").agg(F.count("*").alias("n"))
-    large = counts.where(F.col("n") > PIECE).orderBy(F.col("n").desc(), "h1", "h2").limit(int(1 / HOT_SHARE)).collect()
-    total = sum(r.n for r in large) and ops.count()
-    return [(r.bucket, r.h1, r.h2) for r in large if r.n > total * HOT_SHARE]
+def in_spans(forgets: DataFrame, records: DataFrame) -> DataFrame:
+    """(bucket, h1, h2, op_seq, oh): a forget goes to each span in which its record was ever written."""
+    return forgets.join(records, ["r1", "r2"]).select("bucket", "h1", "h2", "op_seq", "oh")
 
 
-def events(ops: DataFrame, hot: list[tuple[int, int, int]]) -> tuple[DataFrame, DataFrame]:
-    """(rows, forgets): per span and op_seq the one operation or forget that takes place; the forgets that do.
+def events(every: DataFrame) -> tuple[DataFrame, bool]:
+    """(rows, pieces): per span and op_seq the one operation that takes place, and whether spans are folded in pieces.
 
     One wide shuffle brings the rows of a span together; repeats of an op_seq
     and retries are removed there.  Were the repeats of an op_seq to differ,
     the smallest row holds, so arrival doesn't matter.
     """
-    lost = retries(ops)
-    forgets = ops.where(F.col("kind") == "forget").select("namespace", "op_seq", "idempotency_key", "target_id")
-    forgets = forgets.groupBy("namespace", "op_seq").agg(F.min(F.struct("target_id", "idempotency_key")).alias("b")).select("namespace", "op_seq", "b.*")
-    forgets = forgets.join(lost.where(F.col("bucket").isNull()).select("namespace", "op_seq"), ["namespace", "op_seq"], "left_anti")
-    written = ops.where(F.col("kind") != "forget").drop("target_id").withColumn("lost", F.lit(False))
-    gone = lost.where(F.col("bucket").isNotNull()).select("bucket", "h1", "h2", "op_seq").withColumn("lost", F.lit(True))
-    ended = expand_forgets(forgets, ops).withColumn("kind", F.lit("forget")).withColumn("lost", F.lit(False))
-    every = written.unionByName(gone, allowMissingColumns=True).unionByName(ended, allowMissingColumns=True)
-    piece = F.lit(-1).cast("long")
-    if hot:
-        schema = "bucket int, h1 long, h2 long, hot boolean"
-        named = F.broadcast(ops.sparkSession.createDataFrame([(*h, True) for h in hot], schema))
-        every = every.join(named, ["bucket", "h1", "h2"], "left")
+    counts = every.groupBy("bucket", "h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") > PIECE)
+    hot = stage(counts.select("bucket", "h1", "h2", F.lit(True).alias("hot")), "hot")
+    many, piece = hot.count(), F.lit(-1).cast("long")
+    if many:
+        every = every.join(F.broadcast(hot) if many <= NAMED else hot, ["bucket", "h1", "h2"], "left")
         piece = F.when(F.col("hot"), F.floor(F.col("op_seq") / PIECE)).otherwise(piece)
     placed = every.withColumns({"sub": F.pmod(F.shiftright("h1", 40), F.lit(2)).cast("int"), "piece": piece})
-    body = F.struct("kind", "namespace", "source_id", "stable_key", "record_id", "old_id", "idempotency_key")
+    body = F.struct("kind", "record_id", "rh", "oh", *SPAN)
     rows = (
         placed.repartition(*_HOME)
         .groupBy(*_SPAN_KEY, "op_seq")
@@ -133,14 +120,14 @@ def events(ops: DataFrame, hot: list[tuple[int, int, int]]) -> tuple[DataFrame,
         .where(~F.col("lost") & F.col("b").isNotNull())
         .select(*_SPAN_KEY, "op_seq", "at", "b.*")
     )
-    return rows, forgets
+    return rows, many > 0
 
 
+_NONE = "named_struct('r', cast(null as string), 'h', cast(null as bigint), 's', cast(null as bigint))"
 _FOLD = (
-    "aggregate(steps, named_struct('r', cast(null as string), 's', cast(null as bigint)), (acc, x) -> "
-    "CASE WHEN x.kind = 'assert' OR (x.kind = 'supersede' AND acc.r = x.old_id) THEN named_struct('r', x.record_id, 's', x.op_seq) "
-    "WHEN x.kind = 'forget' AND acc.r = x.old_id THEN named_struct('r', cast(null as string), 's', cast(null as bigint)) "
-    "ELSE acc END)"
+    f"aggregate(steps, {_NONE}, (acc, x) -> "
+    "CASE WHEN x.kind = 'assert' OR (x.kind = 'supersede' AND acc.h = x.oh) THEN named_struct('r', x.record_id, 'h', x.rh, 's', x.op_seq) "
+    f"WHEN x.kind = 'forget' AND acc.h = x.oh THEN {_NONE} ELSE acc END)"
 )
 
 
@@ -153,34 +140,33 @@ def fold(rows: DataFrame, pieces: bool) -> DataFrame:
     is folded in pieces of at most ``PIECE`` operations that need not meet in
     one task; ``pieces`` says whether there are any.
     """
-    columns = _names(_OP_SCHEMA)
-    step = F.struct("op_seq", "kind", "record_id", "old_id", *SPAN, "idempotency_key")
-    null = "cast(null as string)"
+    columns = _names("ops")
+    step = F.struct("op_seq", "kind", "record_id", "rh", "oh")
+    null, number = "cast(null as string)", "cast(null as bigint)"
     # One pass gives both parts, so the rows are shuffled and grouped once.
     cold = (
         rows.groupBy(*_SPAN_KEY)
         .agg(F.sort_array(F.collect_list(step)).alias("steps"), *[F.max(c).alias(c) for c in SPAN], F.max("at").alias("at"))
         .where("at = -1")
         .withColumn("live", F.expr(_FOLD))
-        .select("bucket", "h1", "h2", F.expr(
-            "inline(concat(transform(filter(steps, x -> x.kind <> 'forget'), x -> named_struct('part', 'ops', 'namespace', x.namespace, 'op_seq', x.op_seq, "
-            "'idempotency_key', x.idempotency_key, 'kind', x.kind, 'record_id', x.record_id, 'old_id', x.old_id, 'source_id', x.source_id, 'stable_key', x.stable_key)), "
-            f"filter(array(named_struct('part', 'live', 'namespace', namespace, 'op_seq', live.s, 'idempotency_key', {null}, 'kind', {null}, "
-            f"'record_id', live.r, 'old_id', {null}, 'source_id', source_id, 'stable_key', stable_key)), x -> x.record_id IS NOT NULL)))"
+        .select("bucket", "h1", "h2", *SPAN, F.expr(
+            "inline(concat(transform(steps, x -> named_struct('part', 'ops', 'op_seq', x.op_seq, 'kind', x.kind, 'record_id', x.record_id, 'rh', x.rh, 'oh', x.oh)), "
+            f"filter(array(named_struct('part', 'live', 'op_seq', live.s, 'kind', {null}, 'record_id', live.r, 'rh', {number}, 'oh', {number})), x -> x.record_id IS NOT NULL)))"
         ))
     )
     if not pieces:
         return cold.select("part", *columns)
     large = rows.where("at >= 0")
     span = "bucket int, h1 long, h2 long, namespace string, source_id string, stable_key string, "
-    parts = large.groupBy(*_SPAN_KEY).applyInPandas(_compose, span + "piece long, fixed boolean, r string, s long, moves array<struct<a:string,r:string,s:long>>")
+    # As text, because a column of numbers with nulls would come as floats and lose bits.
+    texts = large.withColumns({c: F.col(c).cast("string") for c in ("rh", "oh")})
+    parts = texts.groupBy(*_SPAN_KEY).applyInPandas(_compose, span + "piece long, fixed boolean, h string, r string, s long, moves array<struct<a:string,h:string,r:string,s:long>>")
     # Only what follows the last piece that doesn't depend on what was before it matters.
     last = parts.where("fixed").groupBy("bucket", "h1", "h2").agg(F.max("piece").alias("last"))
     after = parts.join(last, ["bucket", "h1", "h2"], "left").where(F.col("last").isNull() | (F.col("piece") >= F.col("last"))).drop("last")
     live = after.groupBy("bucket", "h1", "h2").applyInPandas(_replay, span + "r string, s long").where("r is not null")
     live = live.select(F.lit("live").alias("part"), "bucket", "h1", "h2", *SPAN, F.col("r").alias("record_id"), F.col("s").alias("op_seq"))
-    kept = large.where("kind <> 'forget'").select(F.lit("ops").alias("part"), *columns)
-    hot = kept.unionByName(live, allowMissingColumns=True)
+    hot = large.select(F.lit("ops").alias("part"), *columns).unionByName(live, allowMissingColumns=True)
     return cold.select("part", *columns).unionByName(hot.select("part", *columns))
 
 
@@ -188,38 +174,47 @@ def _none(x):
     return None if x is None or x != x else x
 
 
+def _first(values):
+    return next((x for x in values if _none(x) is not None), None)
+
+
 def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
     """The events of one piece as one function: a constant, or moves of single ids."""
-    fixed, value, moves = False, (None, None), {}
-    for seq, kind, new, old in pdf.sort_values("op_seq")[["op_seq", "kind", "record_id", "old_id"]].itertuples(index=False):
+    fixed, value, moves = False, (None, None, None), {}
+    own = pdf.sort_values("op_seq")
+    for seq, kind, new, rh, oh in zip(own["op_seq"], own["kind"], own["record_id"], own["rh"], own["oh"]):
+        rh, oh = _none(rh), _none(oh)
         if kind == "assert":
-            fixed, value, moves = True, (new, int(seq)), {}
+            fixed, value, moves = True, (rh, new, int(seq)), {}
+            continue
+        to = (rh, _none(new), int(seq)) if kind == "supersede" else (None, None, None)
+        if oh is None:
             continue
-        to = (_none(new), int(seq)) if kind == "supersede" else (None, None)
         if fixed:
-            if value[0] is not None and value[0] == old:
+            if value[0] == oh:
                 value = to
         else:
-            for a, (r, _) in list(moves.items()):
-                if r is not None and r == old:
+            for a, (h, _, _) in list(moves.items()):
+                if h == oh:
                     moves[a] = to
-            if _none(old) is not None:
-                moves.setdefault(old, to)
-    head, names = pdf.iloc[0], {c: next((x for x in pdf[c] if _none(x) is not None), None) for c in SPAN}
-    return pd.DataFrame([{**{c: head[c] for c in ["bucket", "h1", "h2", "piece"]}, **names, "fixed": fixed, "r": value[0], "s": value[1], "moves": [{"a": a, "r": r, "s": s} for a, (r, s) in moves.items()]}])
+            moves.setdefault(oh, to)
+    head = pdf.iloc[0]
+    row = {**{c: head[c] for c in ["bucket", "h1", "h2", "piece"]}, **{c: _first(pdf[c]) for c in SPAN}, "fixed": fixed, "h": value[0], "r": value[1], "s": value[2]}
+    return pd.DataFrame([{**row, "moves": [{"a": a, "h": h, "r": r, "s": s} for a, (h, r, s) in moves.items()]}]).astype({"s": "Int64"})
 
 
 def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
-    r, s = None, None
-    for row in pdf.sort_values("piece").itertuples(index=False):
-        if row.fixed:
-            r, s = _none(row.r), _none(row.s)
-        elif r is not None:
-            hit = next((m for m in row.moves if m["a"] == r), None)
+    h, r, s = None, None, None
+    own = pdf.sort_values("piece")
+    for fixed, h_, r_, s_, moves in zip(own["fixed"], own["h"], own["r"], own["s"], own["moves"]):
+        if fixed:
+            h, r, s = _none(h_), _none(r_), (None if pd.isna(s_) else int(s_))
+        elif h is not None:
+            hit = next((m for m in moves if m["a"] == h), None)
             if hit is not None:
-                r, s = hit["r"], hit["s"]
-    names = {c: next((x for x in pdf[c] if _none(x) is not None), None) for c in SPAN}
-    return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in ("bucket", "h1", "h2")}, **names, "r": r, "s": s}])
+                h, r, s = hit["h"], hit["r"], hit["s"]
+    row = {**{c: pdf[c].iloc[0] for c in ("bucket", "h1", "h2")}, **{c: _first(pdf[c]) for c in SPAN}, "r": r, "s": s}
+    return pd.DataFrame([row]).astype({"s": "Int64"})
 
 
 class BucketStore:
@@ -227,86 +222,98 @@ class BucketStore:
 
     One writer at a time: a commit fails if another took its number first.
     Null or empty batches commit nothing.  Columns that the feed has besides
-    those of an operation are ignored.
+    those of an operation are ignored.  The number of buckets is that of the
+    first batch: one for each ``PER_BUCKET`` of its deliveries, and ``BUCKETS``
+    at least, unless it is given.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
     def manifest(self) -> dict:
         found = [n for n in files.names(self.spark, f"{self.path}/manifests") if n.endswith(".json")]
         if not found:
-            return {"version": 0, "buckets": self.buckets, "ops": {}, "live": {}, "forgets": []}
+            return {"version": 0, **{part: {} for part in _SCHEMAS}}
         return json.loads(files.read_text(self.spark, f"{self.path}/manifests/{found[-1]}"))
 
-    def _read(self, paths: list[str], schema: str) -> DataFrame:
-        paths, reader = list(paths), self.spark.read.schema(schema)
-        return reader.parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-
-    def _part(self, manifest: dict, kind: str, schema: str, only: set[int] | None = None) -> DataFrame:
-        return self._read([p for b, p in manifest[kind].items() if only is None or int(b) in only], schema)
+    def _part(self, manifest: dict, part: str, only: set[int] | None = None) -> DataFrame:
+        """A part of the store, of all buckets or of some; no other file is opened."""
+        paths = [p for b, p in manifest[part].items() if only is None or int(b) in only]
+        reader = self.spark.read.schema(_SCHEMAS[part])
+        return reader.parquet(*paths) if paths else self.spark.createDataFrame([], _SCHEMAS[part])
 
     def live(self) -> DataFrame:
         """The current state: one row per span that has a live record."""
-        return self._part(self.manifest(), "live", _LIVE_SCHEMA).select(*SPAN, "record_id", "op_seq")
+        return self._part(self.manifest(), "live").select(*SPAN, "record_id", "op_seq")
 
     def apply(self, changes: DataFrame) -> list[int]:
         """Apply one batch of deliveries; returns the buckets it rewrote."""
         old, made = self.manifest(), f"{self.path}/data/{uuid.uuid4().hex}"
-        fresh = normalise(changes, old["buckets"])
-        every, added, touched = fresh, None, None
-        if old["version"]:
-            # The batch is read several times below; a written copy is read instead of the feed.
-            fresh.write.parquet(f"{made}/batch")
-            fresh = self.spark.read.schema(fresh.schema).parquet(f"{made}/batch")
-            base = self._part(old, "ops", _OP_SCHEMA).withColumn("target_id", F.lit(None).cast("string"))
-            base = base.unionByName(self._read(old["forgets"], _FORGET_SCHEMA).withColumn("kind", F.lit("forget")), allowMissingColumns=True)
-            fresh = fresh.join(base.select("namespace", "op_seq"), ["namespace", "op_seq"], "left_anti")
-            every, added = base.unionByName(fresh), fresh.where(F.col("kind") == "forget")
-            touched = self._touched(every, fresh)
-            if not touched and fresh.isEmpty():
+        base = old["version"] > 0
+        count = old["buckets"] if base else self.buckets or max(BUCKETS, changes.count() // PER_BUCKET)
+        fresh, home = normalise(changes, count), lambda c: F.pmod(F.col(c), F.lit(count)).cast("int")
+        write = F.col("kind") != "forget"
+        keys, records, forgets = (self._part(old, p, set()) for p in ("keys", "records", "forgets"))
+        if base:
+            # Only buckets that the batch names are looked at, and what they know already is left out.
+            b, k, r = self._sets(fresh, home)
+            keys, forgets = self._part(old, "keys", k), self._part(old, "forgets", r)
+            known = self._part(old, "ops", b).select("h1", "h2", "op_seq").unionByName(forgets.select(F.col("r1").alias("h1"), F.col("r2").alias("h2"), "op_seq"))
+            named = fresh.withColumns({"h1_": F.when(write, F.col("h1")).otherwise(F.col("r1")), "h2_": F.when(write, F.col("h2")).otherwise(F.col("r2"))})
+            new = named.join(known.select(F.col("h1").alias("h1_"), F.col("h2").alias("h2_"), "op_seq"), ["h1_", "h2_", "op_seq"], "left_anti").drop("h1_", "h2_")
+            late = keys.select("k1", "k2", F.col("op_seq").alias("first"))
+            new = new.join(late, ["k1", "k2"], "left").where(F.col("first").isNull() | (F.col("op_seq") <= F.col("first"))).select(*fresh.columns)
+            new.write.parquet(f"{made}/batch")
+            fresh = self.spark.read.schema(new.schema).parquet(f"{made}/batch")
+            b, k, r = self._sets(fresh, home)
+            if not r:
                 return []
-        hot = hot_spans(every)
-        rows, forgets = events(every, hot)
-        if touched is not None:
-            rows = rows.where(F.col("bucket").isin(sorted(touched)))
-        out = fold(rows, bool(hot)).withColumn("b", F.col("bucket"))
-        kept = (forgets if added is None else added).select(*_names(_FORGET_SCHEMA), F.lit("forgets").alias("part"), F.lit(-1).alias("b"))
-        out.unionByName(kept, allowMissingColumns=True).write.partitionBy("part", "b").parquet(made + "/files")
-        return self._commit(old, f"{made}/files", touched)
-
-    def _touched(self, every: DataFrame, fresh: DataFrame) -> set[int]:
-        """Buckets whose live rows may change; at most as many as the store has."""
-        keys = fresh.where(F.col("idempotency_key").isNotNull()).select(
-            F.xxhash64("namespace", "idempotency_key").alias("k1"), F.xxhash64("idempotency_key", "namespace", F.lit(1)).alias("k2")
-        )
-        lost = retries(every).join(keys.distinct(), ["k1", "k2"], "left_semi").select("namespace", "op_seq")
-        changed = fresh.select("namespace", "op_seq").unionByName(lost)
-        both = every.join(changed, ["namespace", "op_seq"], "left_semi")
-        hit = both.where(F.col("kind") != "forget").select("bucket").unionByName(
-            expand_forgets(both.where(F.col("kind") == "forget"), every).select("bucket")
+            keys = self._part(old, "keys", k)
+        keyed = fresh.where(F.col("k1").isNotNull()).select(*_names("keys")).unionByName(keys)
+        first, lost = first_of_keys(keyed)
+        if base:
+            lost = stage(lost, "lost")
+            r |= {x[0] for x in lost.where("bucket is null").select(home("r1")).distinct().collect()}
+            records, forgets = self._part(old, "records", r), self._part(old, "forgets", r)
+        written = fresh.where(write).select(*_names("records")).distinct()
+        spans = records.unionByName(written).distinct()
+        asked = fresh.where(~write).groupBy("r1", "r2", "op_seq").agg(F.min("oh").alias("oh"))
+        gone = lost.where("bucket is null").select("r1", "r2", "op_seq")
+        asked, forgets = (x.join(gone, ["r1", "r2", "op_seq"], "left_anti") for x in (asked, forgets))
+        ended = in_spans(asked, spans)
+        if base:
+            ended = ended.unionByName(in_spans(forgets, written.join(records, _names("records"), "left_anti")))
+        undone = in_spans(gone.withColumn("oh", F.lit(None).cast("long")), spans).unionByName(
+            lost.where("bucket is not null").select("bucket", "h1", "h2", "op_seq", F.lit(None).cast("long").alias("oh"))
         )
-        return {r[0] for r in hit.distinct().collect()}
-
-    def _buckets(self, path: str) -> dict[str, str]:
-        return {n[2:]: f"{path}/{n}" for n in files.names(self.spark, path) if n.startswith("b=")}
-
-    def _commit(self, old: dict, made: str, touched: set[int] | None) -> list[int]:
-        ops, live = self._buckets(f"{made}/part=ops"), self._buckets(f"{made}/part=live")
-        forgets = list(self._buckets(f"{made}/part=forgets").values())
-        gone = {str(b) for b in touched} if touched is not None else set()
-        version = old["version"] + 1
-        new = {
-            "version": version,
-            "buckets": old["buckets"],
-            "ops": {b: p for b, p in old["ops"].items() if b not in gone} | ops,
-            "live": {b: p for b, p in old["live"].items() if b not in gone} | live,
-            "forgets": [*old["forgets"], *forgets],
-        }
-        if not files.write_text_atomic(self.spark, f"{self.path}/manifests/{version:010d}.json", json.dumps(new)):
+        every = fresh.where(write).select(*_names("ops")).withColumn("lost", F.lit(False))
+        every = every.unionByName(ended.withColumns({"kind": F.lit("forget"), "lost": F.lit(False)}), allowMissingColumns=True)
+        every = every.unionByName(undone.withColumn("lost", F.lit(True)), allowMissingColumns=True)
+        touched = None
+        if base:
+            touched = {x[0] for x in every.select("bucket").distinct().collect()}
+            every = every.unionByName(self._part(old, "ops", touched).withColumn("lost", F.lit(False)))
+        rows, pieces = events(every)
+        fold(rows, pieces).withColumn("b", F.col("bucket")).write.partitionBy("part", "b").parquet(f"{made}/files")
+        for part, frame, by in (("keys", first, "k1"), ("records", spans, "r1"), ("forgets", forgets.unionByName(asked), "r1")):
+            frame.select(*_names(part), home(by).alias("b")).repartition("b").write.partitionBy("b").parquet(f"{made}/files/part={part}")
+        return self._commit(old, f"{made}/files", count, touched, k if base else None, r if base else None)
+
+    def _sets(self, fresh: DataFrame, home) -> tuple[set[int], set[int], set[int]]:
+        """The buckets of spans, keys and records that a batch names; at most as many as the store has."""
+        row = fresh.agg(*[F.collect_set(c) for c in (F.col("bucket"), home("k1"), home("r1"))]).first()
+        return tuple({x for x in c if x is not None} for c in row)  # type: ignore[return-value]
+
+    def _commit(self, old: dict, made: str, count: int, touched: set[int] | None, k: set[int] | None, r: set[int] | None) -> list[int]:
+        version, new = old["version"] + 1, {}
+        for part, gone in (("ops", touched), ("live", touched), ("keys", k), ("records", r), ("forgets", r)):
+            path = f"{made}/part={part}"
+            found = {n[2:]: f"{path}/{n}" for n in files.names(self.spark, path) if n.startswith("b=")}
+            new[part] = {b: p for b, p in old[part].items() if gone is not None and int(b) not in gone} | found
+        if not files.write_text_atomic(self.spark, f"{self.path}/manifests/{version:010d}.json", json.dumps({"version": version, "buckets": count, **new})):
             raise RuntimeError(f"version {version} was committed by another writer")
-        return sorted(touched if touched is not None else map(int, ops))
+        return sorted(touched if touched is not None else map(int, new["ops"]))
 
 
-def _names(schema: str) -> list[str]:
-    return [c.split()[0] for c in schema.split(", ")]
+def _names(part: str) -> list[str]:
+    return [c.split()[0] for c in _SCHEMAS[part].split(", ")]

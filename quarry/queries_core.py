@@ -11,7 +11,11 @@ from quarry.session import scratch, table
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = changefeed.BucketStore(spark, scratch(spark, "ops"))
-    store.apply(table(spark, sf_dir, "write_ops"))
+    feed = table(spark, sf_dir, "write_ops")
+    # What arrived in the first month is the base, to which the rest of the feed is applied.
+    early = F.coalesce(F.col("received_at") < F.lit("2026-02-01").cast("timestamp"), F.lit(True))
+    for batch in (feed.where(early), feed.where(~early)):
+        store.apply(batch)
     return store.live().select("namespace", "source_id", "stable_key", "record_id")
 
 
@@ -46,7 +50,23 @@ todo AS (
     AND r.wal_after < p.wal_tx_id AND p.wal_tx_id <= r.wal_upto AND p.tx_from <= r.started_at)
 )"""
 
+#: Every valid operation once, retries left out; per span its writes and the forgets of records ever written there, in order of op_seq.
+STEPS = """
+WITH ops AS (SELECT DISTINCT ON (namespace, op_seq) * FROM write_ops WHERE namespace IS NOT NULL AND op_seq IS NOT NULL AND kind IN ('assert', 'supersede', 'forget')
+  AND CASE WHEN kind = 'forget' THEN target_id IS NOT NULL ELSE record_id IS NOT NULL AND source_id IS NOT NULL AND stable_key IS NOT NULL END),
+first AS (SELECT namespace, idempotency_key, min(op_seq) AS op_seq FROM ops WHERE idempotency_key IS NOT NULL GROUP BY ALL),
+valid AS (SELECT * FROM ops WHERE idempotency_key IS NULL OR (namespace, idempotency_key, op_seq) IN (SELECT (namespace, idempotency_key, op_seq) FROM first)),
+spans AS (SELECT DISTINCT namespace, source_id, stable_key, record_id FROM ops WHERE kind <> 'forget'),
+steps AS (SELECT namespace, source_id, stable_key, op_seq, kind, record_id, old_id FROM valid WHERE kind <> 'forget'
+  UNION ALL SELECT s.namespace, s.source_id, s.stable_key, v.op_seq, 'forget', NULL, v.target_id FROM valid v JOIN spans s ON s.namespace = v.namespace AND s.record_id = v.target_id WHERE v.kind = 'forget'),
+lists AS (SELECT namespace, source_id, stable_key, list({'k': kind, 'q': op_seq, 'r': record_id, 'o': old_id, 'h': []::struct(q bigint, r varchar, p varchar)[]} ORDER BY op_seq) AS l FROM steps GROUP BY ALL),
+ends AS (SELECT namespace, source_id, stable_key, list_reduce(list_prepend({'k': 'start', 'q': 0::bigint, 'r': NULL::varchar, 'o': NULL::varchar, 'h': []::struct(q bigint, r varchar, p varchar)[]}, l), lambda a, x:
+  CASE WHEN x.k = 'assert' AND a.r IS NOT DISTINCT FROM x.r THEN a
+  WHEN x.k = 'assert' OR (x.k = 'supersede' AND a.r = x.o) THEN {'k': '', 'q': x.q, 'r': x.r, 'o': NULL::varchar, 'h': list_append(a.h, {'q': x.q, 'r': x.r, 'p': a.r})}
+  WHEN x.k = 'forget' AND a.r = x.o THEN {'k': '', 'q': x.q, 'r': NULL::varchar, 'o': NULL::varchar, 'h': list_append(a.h, {'q': x.q, 'r': NULL::varchar, 'p': a.r})} ELSE a END) AS e FROM lists)"""
+
 ORACLES = {
+    "p6_found": STEPS + " SELECT namespace, source_id, stable_key, e.r AS record_id FROM ends WHERE e.r IS NOT NULL",
     "p7_found": _P7 + " SELECT DISTINCT row_id, view_name FROM todo",
     "p7_reread_from": _P7 + " SELECT namespace, view_name, min(wal_tx_id) AS reread_from FROM todo GROUP BY ALL",
 }

@@ -93,6 +93,37 @@ def test_only_touched_buckets_are_rewritten(spark):
     assert {b for b in after["ops"] if after["ops"][b] != before["ops"].get(b)} == {str(touched[0])}
 
 
+def test_only_named_buckets_are_read(spark, monkeypatch):
+    store = changefeed.BucketStore(spark, scratch(spark, "t"), 16)
+    rows = [(i, "a", "assert", f"r{i}", None, None, "s", f"k{i}", f"key{i}", 0, None, None) for i in range(60)]
+    store.apply(spark.createDataFrame(rows, SCHEMA))
+    opened = {}
+    part = changefeed.BucketStore._part
+    monkeypatch.setattr(changefeed.BucketStore, "_part", lambda self, m, p, only=None: (opened.setdefault(p, set()).update(only), part(self, m, p, only))[1])
+    # One new write and the forget of another record.
+    late = [(99, "a", "assert", "new", None, None, "s", "k3", "other", 0, None, None), (100, "a", "forget", None, None, "r7", None, None, None, 0, None, None)]
+    touched = store.apply(spark.createDataFrame(late, SCHEMA))
+    assert 1 <= len(touched) <= 2 and opened["ops"] <= set(touched)
+    assert len(opened["keys"]) == 1 and len(opened["records"]) <= 2 and len(opened["forgets"]) <= 2
+    monkeypatch.undo()
+    assert state(store) == model(rows + late)
+
+
+def test_late_keys_undo_what_took_place(spark):
+    row = lambda seq, kind, rec, old, target, span, key: (seq, "a", kind, rec, old, target, "s" if span else None, span, key, 0, None, None)
+    batches = [
+        [row(5, "assert", "r1", None, None, "p", "x"), row(6, "forget", None, None, "r1", None, "y"), row(7, "assert", "r2", None, None, "q", None)],
+        [row(2, "assert", "r9", None, None, "q", "y")],  # the forget was a retry of it
+        [row(1, "forget", None, None, "r7", None, "x")],  # so was the first assert of this
+        [row(9, "forget", None, None, "r3", None, None)],
+        [row(8, "assert", "r3", None, None, "z", None), row(4, "supersede", "r4", "r9", None, "q", None)],  # older than the forget above
+    ]
+    store = changefeed.BucketStore(spark, scratch(spark, "t"), 4)
+    for n, batch in enumerate(batches):
+        store.apply(spark.createDataFrame(batch, SCHEMA))
+        assert state(store) == model([r for b in batches[: n + 1] for r in b])
+
+
 def test_empty_feed(spark):
     store = changefeed.BucketStore(spark, scratch(spark, "t"), 4)
     store.apply(spark.createDataFrame([], SCHEMA))
