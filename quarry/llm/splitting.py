@@ -110,7 +110,7 @@ def spans(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
     from bisect import bisect_left, bisect_right
 
     units = _units(text)
-    words = [[w.lower() for w in _WORD.findall(text, a, min(b, a + 4000))] for a, b, _ in units]
+    words = [[w.lower() for w in _WORD.findall(text, a, b)] for a, b, _ in units]
     gaps = [(units[i][1], d + units[i][2]) for i, d in enumerate(depths(words))]
     places = [p for p, _ in gaps]
     out, own = [], 0
@@ -137,39 +137,44 @@ def spans(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
 
 
 def limited(sections: DataFrame, inputs: DataFrame, limits: DataFrame) -> DataFrame:
-    """(item_kind, item_id, input_id, section_path, text, max_bytes, overlap_bytes) of every section and input with text.
+    """(item_kind, item_id, input_id, section_path, text, max_bytes, overlap_bytes) of every section and input above its limit.
 
     The content type is that of the input, in lower case and without what
     follows a semicolon; null and unlisted types take ``*``.  Copies of a row
     count once; were an input to come with several types, the first by
-    alphabet holds.
+    alphabet holds for its sections.  Null texts are no items.
     """
-    kind = F.lower(F.trim(F.split("content_type", ";")[0]))
-    typed = inputs.where(F.col("input_id").isNotNull()).groupBy("input_id").agg(F.min(kind).alias("type"))
-    path = F.lit(None).cast("array<string>")
-    s = sections.select("section_id", "input_id", "section_path", "text").where("text is not null").dropDuplicates(["section_id", "text"])
-    s = s.join(typed, "input_id", "left").select(
-        F.lit("section").alias("item_kind"), F.col("section_id").alias("item_id"), "input_id", "section_path", "text", "type"
-    )
-    i = inputs.select("input_id", "text", kind.alias("type")).where("text is not null").dropDuplicates(["input_id", "text"])
-    i = i.select(F.lit("input").alias("item_kind"), F.col("input_id").alias("item_id"), "input_id", path.alias("section_path"), "text", "type")
     # The limits are a fixed table of a row per kind and type.
     named = limits.select("item_kind", F.lower("content_type").alias("type"), "max_bytes", "overlap_bytes").dropDuplicates(["item_kind", "type"])
     rest = named.where(F.col("type") == "*").select("item_kind", F.col("max_bytes").alias("m"), F.col("overlap_bytes").alias("o"))
-    return (
+    least = named.groupBy("item_kind").agg(F.min("max_bytes").alias("least"))
+    kind = F.lower(F.trim(F.split("content_type", ";")[0]))
+    typed = inputs.where(F.col("input_id").isNotNull()).groupBy("input_id").agg(F.min(kind).alias("type"))
+    path, size = F.lit(None).cast("array<string>"), F.octet_length("text")
+
+    def above(items: DataFrame) -> DataFrame:
+        # Whatever its type, a text of at most the least limit of its kind is not oversized; it goes no further than the scan.
+        return items.join(F.broadcast(least), "item_kind").where(size > F.col("least")).drop("least")
+
+    s = above(sections.select(F.lit("section").alias("item_kind"), F.col("section_id").alias("item_id"), "input_id", "section_path", "text")).join(typed, "input_id", "left")
+    i = above(inputs.select(F.lit("input").alias("item_kind"), F.col("input_id").alias("item_id"), "input_id", path.alias("section_path"), "text", kind.alias("type")))
+    over = (
         s.unionByName(i)
         .join(F.broadcast(named.where(F.col("type") != "*")), ["item_kind", "type"], "left")
         .join(F.broadcast(rest), "item_kind")
-        .select("item_kind", "item_id", "input_id", "section_path", "text", F.coalesce("max_bytes", "m").alias("max_bytes"), F.coalesce("overlap_bytes", "o").alias("overlap_bytes"))
+        .withColumns({"max_bytes": F.coalesce("max_bytes", "m"), "overlap_bytes": F.coalesce("overlap_bytes", "o")})
+        .where(size > F.col("max_bytes"))
+        # Copies are told by two hashes, so texts are no keys.
+        .withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64("text", F.lit(1))})
     )
+    return over.dropDuplicates(["item_kind", "item_id", "h1", "h2"]).select("item_kind", "item_id", "input_id", "section_path", "text", "max_bytes", "overlap_bytes")
 
 
 def split(items: DataFrame, with_text: bool = True) -> DataFrame:
     """A row per piece of every oversized item: piece_no from 0, start, own and end in characters, piece.
 
-    Items within their limit pass by without Python; null texts are no items.
-    ``with_text`` False leaves out the text of the pieces, and input_id and
-    section_path with it.
+    Items within their limit pass by without Python.  ``with_text`` False leaves out
+    the text of the pieces, and input_id and section_path with it.
     """
     big = items.where(F.octet_length("text") > F.col("max_bytes"))
     kept = ["item_kind", "item_id", *(["input_id", "section_path"] if with_text else [])]

@@ -40,7 +40,7 @@ def limits(documents: DataFrame) -> DataFrame:
         beyond = Window.partitionBy("source").orderBy("n").rangeBetween(24, Window.unboundedFollowing)
         around = counts.withColumn("rest", F.sum("c").over(near) - F.col("c")).withColumn("longer", F.coalesce(F.sum("c").over(beyond), F.lit(0)))
         often = (F.col("c") >= LEAST) & (F.col("c") >= SPIKE * (F.col("rest") / 120 + 0.1)) & (F.col("longer") <= F.col("c") * LONGER)
-        spikes = around.where(often & (F.col("n") > 100))
+        spikes = around.where(often)
         best = spikes.groupBy("source").agg(F.max(F.struct("c", "n")).alias("b")).select("source", F.col("b.n").alias(name))
         out = best if out is None else out.join(best, "source", "full")
     return out
@@ -50,10 +50,11 @@ def endings(documents: DataFrame) -> DataFrame:
     """doc_id, source and what the classifier sees of a text: its tail, lengths, whether a code fence is open, its source's limits.
 
     Null, empty and blank texts have no ending.  The open fence is counted
-    over the whole text.  Copies of a row count once.
+    over the whole text.  Copies of a row, alike in all that is seen, count
+    once.
     """
     good = documents.where(F.col("text").isNotNull() & (F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0))
-    seen = good.select("doc_id", "source", *_view(F.col("text")))
+    seen = good.select("doc_id", "source", *_view(F.col("text"))).dropDuplicates()
     return _with_limits(seen, documents)
 
 
