@@ -14,6 +14,8 @@ place and no interval is compared with every row.
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -21,6 +23,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.session import stage
+from quarry.sources import files
+
 #: Blocks of level n hold 2**(SHIFT*n) positions; LEVELS of them reach 2**48 positions.
 SHIFT, LEVELS = 6, 8
 
@@ -84,95 +89,110 @@ def covered_until(runs: DataFrame) -> DataFrame:
     return cut.groupBy("namespace", "view_name", "level", "block").agg(F.max("started_at").alias("started_at"))
 
 
+def _levels(runs: DataFrame, least: int) -> list[int]:
+    """The block levels from ``least`` on that the log has: no run holds a block wider than the log."""
+    top = runs.agg(F.max("upto")).first()[0] or 0
+    return [n for n in range(least, LEVELS) if (1 << (SHIFT * n)) <= top + 1]
+
+
 def processed_ledger(rows: DataFrame, runs: DataFrame) -> DataFrame:
     """(row_id, version, view_name) of every row that a run saw: covered, and committed when the run started.
 
     ``rows`` has row_id, namespace, version (the log position) and committed_at.
     """
-    # No run holds a block wider than the log; leaving those levels out also keeps a namespace's rows from sharing one block.
-    top = runs.agg(F.max("upto")).first()[0] or 0
-    used_levels = [n for n in range(LEVELS) if (1 << (SHIFT * n)) <= top + 1]
-    levels = F.array(*[F.struct(F.lit(n).alias("level"), F.shiftright("version", SHIFT * n).alias("block")) for n in used_levels])
+    levels = F.array(*[F.struct(F.lit(n).alias("level"), F.shiftright("version", SHIFT * n).alias("block")) for n in _levels(runs, 0)])
     wide = rows.where((F.col("version") >= 0) & F.col("committed_at").isNotNull())
-    used = covered_until(runs)
     return (
         wide.select("row_id", "version", "namespace", "committed_at", F.inline(levels))
-        .join(used, ["namespace", "level", "block"])
+        .join(covered_until(runs), ["namespace", "level", "block"])
         .where(F.col("committed_at") <= F.col("started_at"))
         .select("row_id", "version", "view_name")
     )
 
 
-def reread_from(rows: DataFrame, runs: DataFrame) -> DataFrame:
-    """Per (namespace, view_name), the position from which the next run must reread.
+def reread_from(rows: DataFrame, runs: DataFrame, views: Sequence[str]) -> DataFrame:
+    """(namespace, view_name, reread_from): the position from which the next run of a view must reread a namespace.
 
-    It is the oldest position that was open, or left out, when the runs took
-    place: no unprocessed row of that namespace lies before it.  A run that
-    starts at it and removes the ledger's pairs skips and repeats nothing.
+    It is the start of the first block of ``2**SHIFT`` positions that no one
+    run holds whole or in which a transaction committed after all runs that do
+    had started: the oldest that was open, or left out, at the last run lies
+    there at the earliest.  It is found from one latest commit time a block,
+    not row by row.  A view that has nothing to reread has no row.
     """
-    return (
-        to_process(rows, runs, None)
-        .join(rows.select("row_id", "namespace"), "row_id")
-        .groupBy("namespace", "view_name")
-        .agg(F.min("version").alias("reread_from"))
-    )
-
-
-def to_process(rows: DataFrame, runs: DataFrame, views: Sequence[str] | None) -> DataFrame:
+    block = F.shiftright("version", SHIFT).alias("zone")
+    good = rows.where(F.col("namespace").isNotNull() & (F.col("version") >= 0) & F.col("committed_at").isNotNull())
+    zones = good.groupBy("namespace", block).agg(F.max("committed_at").alias("latest"))
+    levels = _levels(runs, 1)
+    every = zones.select("namespace", "zone", F.explode(F.array(*map(F.lit, views))).alias("view_name"))
+    if levels:
+        above = F.array(*[F.struct(F.lit(n).alias("level"), F.shiftright("zone", SHIFT * (n - 1)).alias("block")) for n in levels])
+        clean = zones.select("namespace", "zone", "latest", F.inline(above)).join(covered_until(runs).where("level > 0"), ["namespace", "level", "block"])
+        clean = clean.where(F.col("latest") <= F.col("started_at")).select("namespace", "zone", "view_name")
+        every = every.join(clean, ["namespace", "zone", "view_name"], "left_anti")
+    return every.groupBy("namespace", "view_name").agg(F.shiftleft(F.min("zone"), SHIFT).alias("reread_from"))
+
+
+def to_process(rows: DataFrame, runs: DataFrame, views: Sequence[str]) -> DataFrame:
     """(row_id, version, view_name) that no run has processed yet.
 
-    Every row takes part once per distinct (row_id, version); a row without
-    position or commit time was never seen by a run and so is to be processed.
+    Rows are reread from the oldest transaction that was open at the last run;
+    of these, the pairs in the ledger are taken out.  Every row takes part
+    once per distinct (row_id, version); a row without namespace, position or
+    commit time was never seen by a run and so is to be processed.
     """
-    names = views if views is not None else ("dense", "lexical")
-    pairs = rows.select("row_id", "version").distinct().select("row_id", "version", F.explode(F.array(*map(F.lit, names))).alias("view_name"))
-    ledger = processed_ledger(rows, runs)
-    key = [pairs.row_id.eqNullSafe(ledger.row_id), pairs.version == ledger.version, pairs.view_name == ledger.view_name]
-    return pairs.join(ledger, key, "left_anti")
+    start = stage(reread_from(rows, runs, views), "reread")
+    first = start.groupBy("namespace").agg(F.min("reread_from").alias("first"))
+    lost = F.col("namespace").isNull() | F.col("version").isNull() | (F.col("version") < 0) | F.col("committed_at").isNull()
+    again = rows.join(first, "namespace", "left").where(lost | (F.col("version") >= F.col("first"))).drop("first")
+    pairs = again.withColumn("lost", lost).select("row_id", "version", "namespace", "lost", F.explode(F.array(*map(F.lit, views))).alias("view_name"))
+    open_ = pairs.join(start, ["namespace", "view_name"], "left").where(F.col("lost") | (F.col("version") >= F.col("reread_from")))
+    open_ = open_.select("row_id", "version", "view_name").distinct()
+    ledger = processed_ledger(again, runs)
+    key = [open_.row_id.eqNullSafe(ledger.row_id), open_.version == ledger.version, open_.view_name == ledger.view_name]
+    return open_.join(ledger, key, "left_anti")
 
 
 class ProcessedLedger:
     """The incremental reader: each ``next_batch`` is what ``commit`` hasn't recorded yet.
 
-    ``state`` is a folder with the committed pairs and, per commit, the oldest
-    position that was open.  A run that fails before ``commit`` leaves no
-    trace, so the next one reads the same rows again; the commit is one
-    renamed folder.
+    ``state`` is a folder with one committed ledger: the oldest position that
+    was open, and the pairs at or after it.  Everything before that position is
+    processed, so the ledger doesn't grow with the log.  A run that fails
+    before ``commit`` leaves no trace, so the next one reads the same rows
+    again; the commit is one renamed file.  A row without a position is never
+    before any, and so stays in the ledger.
     """
 
     def __init__(self, spark, state: str):
         self.spark, self.state = spark, state.rstrip("/")
 
-    def _commits(self) -> list[str]:
-        from quarry.sources import files
-
-        return [n for n in files.names(self.spark, f"{self.state}/commits") if n.endswith(".json")]
-
-    def _known(self) -> tuple[DataFrame | None, int]:
-        import json
-
-        from quarry.sources import files
-
-        found = [json.loads(files.read_text(self.spark, f"{self.state}/commits/{n}")) for n in self._commits()]
+    def _last(self) -> tuple[int, DataFrame | None, int]:
+        """(number of the next commit, pairs, oldest open position) of the last commit."""
+        found = [n for n in files.names(self.spark, f"{self.state}/commits") if n.endswith(".json")]
         if not found:
-            return None, -1
-        return self.spark.read.parquet(*[c["pairs"] for c in found]), found[-1]["oldest_open"]
+            return 0, None, -1
+        last = json.loads(files.read_text(self.spark, f"{self.state}/commits/{found[-1]}"))
+        return len(found), self.spark.read.parquet(last["pairs"]), last["oldest_open"]
+
+    @staticmethod
+    def _since(rows: DataFrame, start: int) -> DataFrame:
+        return rows if start < 0 else rows.where(F.col("version").isNull() | (F.col("version") >= start))
 
     def next_batch(self, log: DataFrame) -> DataFrame:
         """Rows of ``log`` (row_id, version, ...) at or after the oldest open position, without processed pairs."""
-        pairs, start = self._known()
-        new = log.where(F.col("version") >= start) if start >= 0 else log
-        return new if pairs is None else new.join(pairs, ["row_id", "version"], "left_anti")
+        _, pairs, start = self._last()
+        new = self._since(log, start)
+        if pairs is None:
+            return new
+        return new.join(pairs, new.row_id.eqNullSafe(pairs.row_id) & new.version.eqNullSafe(pairs.version), "left_anti")
 
     def commit(self, batch: DataFrame, oldest_open: int) -> None:
         """Record the pairs of ``batch``; ``oldest_open`` is the lowest position still open when it was read."""
-        import json
-        import uuid
-
-        from quarry.sources import files
-
+        number, pairs, start = self._last()
+        if oldest_open < start:
+            raise ValueError("the oldest open position can't fall")
+        own = batch.select("row_id", "version").distinct()
         path = f"{self.state}/pairs/{uuid.uuid4().hex}"
-        batch.select("row_id", "version").write.parquet(path)
-        number = len(self._commits())
+        self._since(own if pairs is None else pairs.unionByName(own), oldest_open).write.parquet(path)
         if not files.write_text_atomic(self.spark, f"{self.state}/commits/{number:010d}.json", json.dumps({"pairs": path, "oldest_open": oldest_open})):
             raise RuntimeError("another run committed first")

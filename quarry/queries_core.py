@@ -32,8 +32,9 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_reread_from(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = incremental.succeeded_runs(table(spark, sf_dir, "refresh_reports"), ("dense", "lexical"))
-    return incremental.reread_from(_log(spark, sf_dir).distinct(), runs)
+    views = ("dense", "lexical")
+    runs = incremental.succeeded_runs(table(spark, sf_dir, "refresh_reports"), views)
+    return incremental.reread_from(_log(spark, sf_dir), runs, views)
 
 
 QUERIES = {"p6_found": p6_found, "p7_found": p7_found, "p7_reread_from": p7_reread_from}
@@ -68,5 +69,8 @@ ends AS (SELECT namespace, source_id, stable_key, list_reduce(list_prepend({'k':
 ORACLES = {
     "p6_found": STEPS + " SELECT namespace, source_id, stable_key, e.r AS record_id FROM ends WHERE e.r IS NOT NULL",
     "p7_found": _P7 + " SELECT DISTINCT row_id, view_name FROM todo",
-    "p7_reread_from": _P7 + " SELECT namespace, view_name, min(wal_tx_id) AS reread_from FROM todo GROUP BY ALL",
+    "p7_reread_from": _P7 + """, zones AS (SELECT namespace, view_name, wal_tx_id // 64 AS zone, max(tx_from) AS latest FROM pairs WHERE namespace IS NOT NULL AND wal_tx_id >= 0 AND tx_from IS NOT NULL GROUP BY ALL)
+     SELECT namespace, view_name, (min(zone) * 64)::bigint AS reread_from FROM zones z WHERE NOT EXISTS (
+       SELECT 1 FROM runs r WHERE r.namespace = z.namespace AND r.view_name = z.view_name AND r.wal_after < z.zone * 64 AND z.zone * 64 + 63 <= r.wal_upto AND z.latest <= r.started_at)
+     GROUP BY ALL""",
 }

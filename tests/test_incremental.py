@@ -58,3 +58,18 @@ def test_ledger_neither_skips_nor_repeats(spark):
     assert {r.row_id for r in second.collect()} == {3, 5}
     ledger.commit(second, oldest_open=6)
     assert ledger.next_batch(log([1, 2, 3, 4, 5])).count() == 0
+    assert ledger._last()[1].count() == 0  # everything before position 6 is known to be processed
+    ledger.commit(ledger.next_batch(log([6, 8, None])), oldest_open=7)
+    assert {r.row_id for r in ledger._last()[1].collect()} == {8, None}
+    assert {r.row_id for r in ledger.next_batch(log([6, 7, 8, 9, None])).collect()} == {7, 9}
+
+
+def test_reread_is_before_whatever_is_open(spark):
+    rows = [(i, "a", i, T0 + timedelta(hours=1)) for i in range(400)]
+    late = (200, "a", 200, T0 + timedelta(hours=9))  # open when the first run started
+    reports = [(1, "a", -1, 255, "succeeded", T0 + timedelta(hours=2), {"dense": 1}), (2, "a", 255, 383, "succeeded", T0 + timedelta(hours=2), {"dense": 1, "lexical": 1})]
+    log = spark.createDataFrame(rows[:200] + [late] + rows[201:], "row_id long, namespace string, version long, committed_at timestamp")
+    runs = I.succeeded_runs(spark.createDataFrame(reports, "report_id long, namespace string, wal_after long, wal_upto long, status string, started_at timestamp, entries map<string,long>"), ("dense", "lexical"))
+    assert {(r.view_name, r.reread_from) for r in I.reread_from(log, runs, ("dense", "lexical")).collect()} == {("dense", 192), ("lexical", 0)}
+    got = I.to_process(log, runs, ("dense", "lexical"))
+    assert {r.row_id for r in got.where("view_name = 'dense'").collect()} == {200, *range(384, 400)}
