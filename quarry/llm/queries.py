@@ -111,6 +111,11 @@ _P2 = """WITH b AS (SELECT plan_id, namespace, op_kind, record_id, max(score) AS
  t AS (SELECT plan_id, record_id, round(sum(flow * coalesce(element_at(fusion_weights, op_kind)[1], 1.0)), 9) AS net_flow FROM f LEFT JOIN fusion_policies USING (namespace) GROUP BY ALL),
  k AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY net_flow DESC, record_id) AS position FROM t)"""
 
+_P4 = """WITH v AS (SELECT DISTINCT ON (row_id) row_id, namespace, producer_version, embedding::double[] AS e FROM view_dense
+       WHERE len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+     s AS (SELECT a.row_id AS a, b.row_id AS b, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.namespace = b.namespace AND a.producer_version = b.producer_version AND a.row_id <> b.row_id),
+     k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS p FROM s)"""
+
 ORACLES = {
     "p1_found": """WITH t AS (SELECT input_id, min(lower(trim(split_part(content_type, ';', 1)))) AS type FROM doc_inputs GROUP BY 1),
      i AS (SELECT 'section' AS item_kind, section_id AS item_id, text, type FROM parsed_sections LEFT JOIN t USING (input_id)
@@ -119,14 +124,11 @@ ORACLES = {
        JOIN chunk_limits s ON s.item_kind = i.item_kind AND s.content_type = '*')
      SELECT DISTINCT item_kind, item_id FROM j WHERE strlen(text) > m""",
     "p2_found": _P2 + " SELECT plan_id, record_id FROM k WHERE position = 1",
+    "p2_ranking": _P2 + " SELECT plan_id, record_id, net_flow, position FROM k",
     "p3_found": r"""WITH r AS (SELECT DISTINCT row_id, source_id, regexp_extract_all(lower(body_text), '[\p{L}\p{N}]+') AS w FROM records WHERE body_text IS NOT NULL),
      g AS (SELECT row_id, source_id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM r WHERE len(w) >= 3),
      n AS (SELECT row_id, count(*) AS n FROM g GROUP BY 1),
      c AS (SELECT a.row_id AS row_id_a, b.row_id AS row_id_b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.row_id < b.row_id AND a.source_id <> b.source_id GROUP BY ALL)
      SELECT row_id_a, row_id_b FROM c JOIN n x ON x.row_id = row_id_a JOIN n y ON y.row_id = row_id_b WHERE k >= 0.5 * (x.n + y.n - k)""",
-    "p4_found": """WITH v AS (SELECT DISTINCT ON (row_id) row_id, namespace, producer_version, embedding::double[] AS e FROM view_dense
-       WHERE len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
-     s AS (SELECT a.row_id AS a, b.row_id AS b, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.namespace = b.namespace AND a.producer_version = b.producer_version AND a.row_id <> b.row_id),
-     k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS p FROM s)
-     SELECT DISTINCT least(a, b) AS row_id_a, greatest(a, b) AS row_id_b FROM k WHERE p <= 10 AND c >= 0.85""",
+    "p4_found": _P4 + " SELECT DISTINCT least(a, b) AS row_id_a, greatest(a, b) AS row_id_b FROM k WHERE p <= 10 AND c >= 0.85",
 }
