@@ -22,7 +22,7 @@ import json
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.session import stage
@@ -47,6 +47,10 @@ _HOME = ["bucket", "sub", "piece"]
 _SPAN_KEY = [*_HOME, "h1", "h2"]
 
 
+_SPAN_SCHEMA = "bucket int, h1 long, h2 long, namespace string, source_id string, stable_key string, "
+_PARTS = _SPAN_SCHEMA + "piece long, fixed boolean, h string, r string, s long, moves array<struct<a:string,h:string,r:string,s:long>>"
+
+
 def normalise(changes: DataFrame, buckets: int) -> DataFrame:
     """The deliveries as operations, with bucket and hashes; repeats are still there.
 
@@ -157,14 +161,13 @@ def fold(rows: DataFrame, pieces: bool) -> DataFrame:
     if not pieces:
         return cold.select("part", *columns)
     large = rows.where("at >= 0")
-    span = "bucket int, h1 long, h2 long, namespace string, source_id string, stable_key string, "
     # As text, because a column of numbers with nulls would come as floats and lose bits.
     texts = large.withColumns({c: F.col(c).cast("string") for c in ("rh", "oh")})
-    parts = texts.groupBy(*_SPAN_KEY).applyInPandas(_compose, span + "piece long, fixed boolean, h string, r string, s long, moves array<struct<a:string,h:string,r:string,s:long>>")
+    parts = texts.groupBy(*_SPAN_KEY).applyInPandas(_compose, _PARTS)
     # Only what follows the last piece that doesn't depend on what was before it matters.
     last = parts.where("fixed").groupBy("bucket", "h1", "h2").agg(F.max("piece").alias("last"))
     after = parts.join(last, ["bucket", "h1", "h2"], "left").where(F.col("last").isNull() | (F.col("piece") >= F.col("last"))).drop("last")
-    live = after.groupBy("bucket", "h1", "h2").applyInPandas(_replay, span + "r string, s long").where("r is not null")
+    live = after.groupBy("bucket", "h1", "h2").applyInPandas(_replay, _SPAN_SCHEMA + "r string, s long").where("r is not null")
     live = live.select(F.lit("live").alias("part"), "bucket", "h1", "h2", *SPAN, F.col("r").alias("record_id"), F.col("s").alias("op_seq"))
     hot = large.select(F.lit("ops").alias("part"), *columns).unionByName(live, allowMissingColumns=True)
     return cold.select("part", *columns).unionByName(hot.select("part", *columns))
@@ -217,6 +220,79 @@ def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([row]).astype({"s": "Int64"})
 
 
+def operations(changes: DataFrame, buckets: int = 4096) -> DataFrame:
+    """All that a whole feed does to each span: its writes, the forgets that reach it, and retries marked as lost; repeats are still there."""
+    fresh = normalise(changes, buckets)
+    write = F.col("kind") != "forget"
+    _, lost = first_of_keys(fresh.where(F.col("k1").isNotNull()).select(*_names("keys")))
+    spans = fresh.where(write).select(*_names("records")).distinct()
+    gone = lost.where("bucket is null").select("r1", "r2", "op_seq")
+    asked = fresh.where(~write).groupBy("r1", "r2", "op_seq").agg(F.min("oh").alias("oh")).join(gone, ["r1", "r2", "op_seq"], "left_anti")
+    every = fresh.where(write).select(*_names("ops")).withColumn("lost", F.lit(False))
+    every = every.unionByName(in_spans(asked, spans).withColumns({"kind": F.lit("forget"), "lost": F.lit(False)}), allowMissingColumns=True)
+    undone = lost.where("bucket is not null").select("bucket", "h1", "h2", "op_seq").withColumn("lost", F.lit(True))
+    return every.unionByName(undone, allowMissingColumns=True)
+
+
+_STEP = (
+    "aggregate(steps, named_struct('r', r0, 'h', h0, 'v', cast(array() as array<struct<q: bigint, r: string, p: string, o: string>>)), (acc, x) -> "
+    "CASE WHEN x.kind = 'assert' AND acc.h = x.rh THEN named_struct('r', acc.r, 'h', acc.h, 'v', concat(acc.v, array(named_struct('q', x.op_seq, 'r', acc.r, 'p', acc.r, 'o', 'unchanged')))) "
+    "WHEN x.kind = 'assert' OR (x.kind = 'supersede' AND acc.h = x.oh) THEN named_struct('r', x.record_id, 'h', x.rh, 'v', concat(acc.v, array(named_struct('q', x.op_seq, 'r', x.record_id, 'p', acc.r, "
+    "'o', CASE WHEN x.kind = 'supersede' THEN 'superseded' WHEN acc.h IS NULL THEN 'created' ELSE 'converted' END)))) "
+    "WHEN x.kind = 'forget' AND acc.h = x.oh THEN named_struct('r', cast(null as string), 'h', cast(null as bigint), 'v', concat(acc.v, array(named_struct('q', x.op_seq, 'r', cast(null as string), 'p', acc.r, 'o', 'forgotten')))) "
+    "WHEN x.kind = 'forget' THEN acc "
+    "ELSE named_struct('r', acc.r, 'h', acc.h, 'v', concat(acc.v, array(named_struct('q', x.op_seq, 'r', acc.r, 'p', acc.r, 'o', 'refused')))) END).v"
+)
+
+
+def history(changes: DataFrame) -> DataFrame:
+    """(span, op_seq, outcome, record_id, prior, seq_to): what every operation of a feed did to its span.
+
+    The outcome of a write is ``created``, ``unchanged`` (an assert of what is
+    live), ``converted`` (an assert in place of another record),
+    ``superseded``, or ``refused`` (a supersede whose old_id isn't live); that
+    of a forget is ``forgotten``, in each span in which its target was live.
+    ``record_id`` is what is live afterwards and ``prior`` what was before;
+    ``seq_to`` is the op_seq of the next operation that changed the span.
+
+    A span of more than ``PIECE`` operations is replayed in pieces, each from
+    what was live at its start, so no span must fit in a task.
+    """
+    rows, pieces = events(operations(changes))
+    step, null = F.struct("op_seq", "kind", "record_id", "rh", "oh"), F.lit(None)
+    lists = rows.groupBy(*_SPAN_KEY).agg(F.sort_array(F.collect_list(step)).alias("steps"), *[F.max(c).alias(c) for c in SPAN])
+    cold = lists.where("piece = -1").withColumns({"r0": null.cast("string"), "h0": null.cast("long")}).withColumn("v", F.expr(_STEP))
+    done = cold.select(*SPAN, "v", null.cast("long").alias("later"))
+    if pieces:
+        texts = rows.where("at >= 0").withColumns({c: F.col(c).cast("string") for c in ("rh", "oh")})
+        parts = texts.groupBy(*_SPAN_KEY).applyInPandas(_compose, _PARTS)
+        # One row per piece of a hot span.
+        starts = parts.groupBy("bucket", "h1", "h2").applyInPandas(_starts, "bucket int, h1 long, h2 long, piece long, namespace string, source_id string, stable_key string, r0 string, h0 string")
+        hot = lists.where("piece >= 0").drop(*SPAN).join(starts.withColumn("h0", F.col("h0").cast("long")), ["bucket", "h1", "h2", "piece"]).withColumn("v", F.expr(_STEP))
+        after = Window.partitionBy("bucket", "h1", "h2").orderBy("piece").rowsBetween(1, Window.unboundedFollowing)
+        moved = F.expr("filter(v, x -> x.o <> 'unchanged' and x.o <> 'refused')")
+        done = done.unionByName(hot.select(*SPAN, "v", F.first(F.get(moved, F.lit(0))["q"], ignorenulls=True).over(after).alias("later")))
+    moved = done.withColumn("moved", F.expr("transform(filter(v, x -> x.o <> 'unchanged' and x.o <> 'refused'), x -> x.q)"))
+    each = moved.select(*SPAN, "moved", "later", F.inline("v")).withColumnsRenamed({"q": "op_seq", "r": "record_id", "p": "prior", "o": "outcome"})
+    # The changes of a span, or of a piece, are in order.
+    seq_to = F.coalesce(F.get(F.filter("moved", lambda m: m > F.col("op_seq")), F.lit(0)), "later")
+    return each.select(*SPAN, "op_seq", "outcome", "record_id", "prior", seq_to.alias("seq_to"))
+
+
+def _starts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What is live at the start of each piece of a span."""
+    h, r, out = None, None, []
+    own = pdf.sort_values("piece")
+    for piece, fixed, h_, r_, moves in zip(own["piece"], own["fixed"], own["h"], own["r"], own["moves"]):
+        out.append((piece, r, h))
+        if fixed:
+            h, r = _none(h_), _none(r_)
+        elif h is not None and (hit := next((m for m in moves if m["a"] == h), None)) is not None:
+            h, r = hit["h"], hit["r"]
+    frame = pd.DataFrame(out, columns=["piece", "r0", "h0"])
+    return frame.assign(**{c: pdf[c].iloc[0] for c in ("bucket", "h1", "h2")}, **{c: _first(pdf[c]) for c in SPAN})[["bucket", "h1", "h2", "piece", *SPAN, "r0", "h0"]]
+
+
 class BucketStore:
     """Copy-on-write table of write operations and of what is live after them.
 

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.changefeed import history
+from quarry.session import stage
+
 SPAN = ["namespace", "source_id", "stable_key"]
 
 
@@ -34,26 +37,37 @@ def as_of(records: DataFrame, moment) -> DataFrame:
     return records.where((F.col("tx_from") <= at) & (F.col("tx_to").isNull() | (F.col("tx_to") > at)))
 
 
-def log_events(ops: DataFrame) -> DataFrame:
-    """One event per span and op_seq from a log of admitted operations: writes, and forgets on each span that held their target."""
-    one = ops.select("namespace", "op_seq", "kind", "record_id", "source_id", "stable_key", "target_id").distinct()
-    writes = one.where(F.col("kind").isin("assert", "supersede")).select(*SPAN, "op_seq", "kind", "record_id")
-    spans = writes.select(*SPAN, F.col("record_id").alias("target_id")).distinct()
-    forgets = one.where(F.col("kind") == "forget").select("namespace", "op_seq", "target_id").join(spans, ["namespace", "target_id"])
-    return writes.unionByName(forgets.select(*SPAN, "op_seq", F.lit("forget").alias("kind"), F.lit(None).cast("string").alias("record_id")))
+def versions(changes: DataFrame) -> DataFrame:
+    """(span, record_id, seq_from, seq_to, supersedes): the history of every span under a log of write operations.
 
+    An assert of what is live is logged but opens no version; a supersede to
+    equal content does.  A supersede of what isn't live, a retry and an empty
+    operation open none; a forget closes its target's and opens none.
+    """
+    opened = history(changes).where(F.col("outcome").isin("created", "converted", "superseded"))
+    return opened.select(*SPAN, "record_id", F.col("op_seq").alias("seq_from"), "seq_to", F.col("prior").alias("supersedes"))
 
-def versions(events: DataFrame) -> DataFrame:
-    """(span, record_id, seq_from, seq_to, supersedes): the history of every span.
 
-    An assert of what is live is logged but opens no version; a supersede to
-    equal content does.  A forget opens none and closes the one before.
+def ambiguous(records: DataFrame, ids: DataFrame) -> DataFrame:
+    """(record_id, namespaces): of ``ids``, those that are live in several namespaces; a forget of one without a namespace is refused."""
+    found = live(records).join(ids.select("record_id").distinct(), "record_id", "left_semi")
+    return found.groupBy("record_id").agg(F.countDistinct("namespace").alias("namespaces")).where("namespaces > 1")
+
+
+def admitted(changes: DataFrame, records: DataFrame, preconditions: list | tuple = ()) -> DataFrame:
+    """``changes`` that may be written: by a writer of the same namespace, and passing every precondition.
+
+    ``changes`` has namespace and writer_namespace besides the span.  A
+    precondition is a column over the change and ``prior_text``, the body of
+    what is live in its span (null if nothing is); where it is null or false
+    the change is refused.
     """
-    w = Window.partitionBy(*SPAN).orderBy("op_seq")
-    known = events.withColumn("prior", F.lag("record_id").over(w))
-    moved = known.where(~((F.col("kind") == "assert") & F.col("record_id").eqNullSafe(F.col("prior")) & F.col("prior").isNotNull()))
-    chained = moved.withColumns({"seq_to": F.lead("op_seq").over(w), "supersedes": F.lag("record_id").over(w)})
-    return chained.where(F.col("kind") != "forget").select(*SPAN, "record_id", F.col("op_seq").alias("seq_from"), "seq_to", "supersedes")
+    own = changes.where(F.col("namespace").eqNullSafe(F.col("writer_namespace")))
+    prior = live(records).groupBy(*SPAN).agg(F.max_by("body_text", "row_id").alias("prior_text"))
+    out = own.join(prior, SPAN, "left")
+    for p in preconditions:
+        out = out.where(F.coalesce(p, F.lit(False)))
+    return out
 
 
 def double_live(records: DataFrame) -> DataFrame:
@@ -127,7 +141,15 @@ def unlike_dimension(view: DataFrame, dim: int) -> DataFrame:
 
 
 def append_log(log: DataFrame, batch: DataFrame, order: list[str]) -> DataFrame:
-    """``batch`` with ``position``: the log's last one, plus its row number over ``order``."""
-    last = log.agg(F.coalesce(F.max("position"), F.lit(0)).alias("last")).withColumn("one", F.lit(1))
-    numbered = batch.withColumn("one", F.lit(1)).withColumn("n", F.row_number().over(Window.partitionBy("one").orderBy(*order)))
-    return numbered.join(F.broadcast(last), "one").withColumn("position", F.col("last") + F.col("n")).drop("one", "n", "last")
+    """``batch`` with ``position``: the log's last one, plus its row number over ``order``.
+
+    The batch is sorted by ranges, written once so that every use sees the
+    same ranges, and numbered within each; only the ranges' sizes are gathered.
+    """
+    last = log.agg(F.coalesce(F.max("position"), F.lit(0))).first()[0]
+    placed = stage(batch.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "append")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("__part").agg(F.count("*").alias("n")).select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    numbered = placed.withColumn("__n", inside).join(F.broadcast(sizes), "__part")
+    return numbered.withColumn("position", F.lit(last) + F.col("__before") + F.col("__n")).drop("__part", "__n", "__before")

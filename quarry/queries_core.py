@@ -60,11 +60,13 @@ valid AS (SELECT * FROM ops WHERE idempotency_key IS NULL OR (namespace, idempot
 spans AS (SELECT DISTINCT namespace, source_id, stable_key, record_id FROM ops WHERE kind <> 'forget'),
 steps AS (SELECT namespace, source_id, stable_key, op_seq, kind, record_id, old_id FROM valid WHERE kind <> 'forget'
   UNION ALL SELECT s.namespace, s.source_id, s.stable_key, v.op_seq, 'forget', NULL, v.target_id FROM valid v JOIN spans s ON s.namespace = v.namespace AND s.record_id = v.target_id WHERE v.kind = 'forget'),
-lists AS (SELECT namespace, source_id, stable_key, list({'k': kind, 'q': op_seq, 'r': record_id, 'o': old_id, 'h': []::struct(q bigint, r varchar, p varchar)[]} ORDER BY op_seq) AS l FROM steps GROUP BY ALL),
-ends AS (SELECT namespace, source_id, stable_key, list_reduce(list_prepend({'k': 'start', 'q': 0::bigint, 'r': NULL::varchar, 'o': NULL::varchar, 'h': []::struct(q bigint, r varchar, p varchar)[]}, l), lambda a, x:
-  CASE WHEN x.k = 'assert' AND a.r IS NOT DISTINCT FROM x.r THEN a
-  WHEN x.k = 'assert' OR (x.k = 'supersede' AND a.r = x.o) THEN {'k': '', 'q': x.q, 'r': x.r, 'o': NULL::varchar, 'h': list_append(a.h, {'q': x.q, 'r': x.r, 'p': a.r})}
-  WHEN x.k = 'forget' AND a.r = x.o THEN {'k': '', 'q': x.q, 'r': NULL::varchar, 'o': NULL::varchar, 'h': list_append(a.h, {'q': x.q, 'r': NULL::varchar, 'p': a.r})} ELSE a END) AS e FROM lists)"""
+lists AS (SELECT namespace, source_id, stable_key, list({'k': kind, 'q': op_seq, 'r': record_id, 'o': old_id, 'h': []::struct(q bigint, r varchar, p varchar, o varchar)[]} ORDER BY op_seq) AS l FROM steps GROUP BY ALL),
+ends AS (SELECT namespace, source_id, stable_key, list_reduce(list_prepend({'k': 'start', 'q': 0::bigint, 'r': NULL::varchar, 'o': NULL::varchar, 'h': []::struct(q bigint, r varchar, p varchar, o varchar)[]}, l), lambda a, x:
+  CASE WHEN x.k = 'assert' AND a.r IS NOT DISTINCT FROM x.r THEN {'k': '', 'q': x.q, 'r': a.r, 'o': NULL::varchar, 'h': list_append(a.h, {'q': x.q, 'r': a.r, 'p': a.r, 'o': 'unchanged'})}
+  WHEN x.k = 'assert' OR (x.k = 'supersede' AND a.r = x.o) THEN {'k': '', 'q': x.q, 'r': x.r, 'o': NULL::varchar,
+    'h': list_append(a.h, {'q': x.q, 'r': x.r, 'p': a.r, 'o': CASE WHEN x.k = 'supersede' THEN 'superseded' WHEN a.r IS NULL THEN 'created' ELSE 'converted' END})}
+  WHEN x.k = 'forget' AND a.r = x.o THEN {'k': '', 'q': x.q, 'r': NULL::varchar, 'o': NULL::varchar, 'h': list_append(a.h, {'q': x.q, 'r': NULL::varchar, 'p': a.r, 'o': 'forgotten'})}
+  WHEN x.k = 'supersede' THEN {'k': '', 'q': x.q, 'r': a.r, 'o': NULL::varchar, 'h': list_append(a.h, {'q': x.q, 'r': a.r, 'p': a.r, 'o': 'refused'})} ELSE a END) AS e FROM lists)"""
 
 ORACLES = {
     "p6_found": STEPS + " SELECT namespace, source_id, stable_key, e.r AS record_id FROM ends WHERE e.r IS NOT NULL",

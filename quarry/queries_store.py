@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import store
+from quarry.operators import changefeed, store
+from quarry.queries_core import STEPS
 from quarry.session import table
 
 NS = "tenant:canyonstack"
@@ -41,7 +42,11 @@ def log_scan_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bitemporal_versions(spark: SparkSession, d: str) -> DataFrame:
-    return store.versions(store.log_events(_log(spark, d)))
+    return store.versions(_log(spark, d))
+
+
+def write_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return changefeed.history(_log(spark, d)).select(*store.SPAN, "op_seq", "outcome")
 
 
 def live_records(spark: SparkSession, d: str) -> DataFrame:
@@ -57,9 +62,8 @@ def as_of_snapshot(spark: SparkSession, d: str) -> DataFrame:
 
 
 def forget_effect(spark: SparkSession, d: str) -> DataFrame:
-    events = store.log_events(_log(spark, d))
-    ended = events.where("kind = 'forget'").select(*store.SPAN, F.col("op_seq").alias("seq_to"))
-    return store.versions(events).join(ended, [*store.SPAN, "seq_to"], "left_semi").select(*store.SPAN, "record_id", "seq_from", "seq_to")
+    ended = changefeed.history(_log(spark, d)).where("outcome = 'forgotten'")
+    return ended.select(*store.SPAN, F.col("prior").alias("record_id"), F.col("op_seq").alias("seq_to"))
 
 
 def change_feed(spark: SparkSession, d: str) -> DataFrame:
@@ -135,21 +139,17 @@ def record_hash(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_live_namespace, point_lookup, log_tail_since, log_scan_counts, bitemporal_versions, live_records, one_live_violations, as_of_snapshot,
+        scan_live_namespace, point_lookup, log_tail_since, log_scan_counts, bitemporal_versions, write_outcomes, live_records, one_live_violations, as_of_snapshot,
         forget_effect, change_feed, tier_clamp, foreign_writers, navigate_tree, touched_ids, view_anti_remove, view_rederive, view_join_live,
         producer_drift, dimension_refusal, view_refresh_counts, contextual_text, evidence_projection, record_hash,
     )
 }
 
 _R = "r AS (SELECT DISTINCT ON (row_id) * EXCLUDE (provenance) FROM records)"
-_V = """WITH one AS (SELECT DISTINCT namespace, op_seq, kind, record_id, source_id, stable_key, target_id FROM write_ops),
- w AS (SELECT namespace, source_id, stable_key, op_seq, kind, record_id FROM one WHERE kind IN ('assert', 'supersede')),
- f AS (SELECT s.namespace, s.source_id, s.stable_key, o.op_seq, 'forget' AS kind, NULL AS record_id FROM one o
-   JOIN (SELECT DISTINCT namespace, source_id, stable_key, record_id FROM w) s ON s.namespace = o.namespace AND s.record_id = o.target_id WHERE o.kind = 'forget'),
- e AS (FROM w UNION ALL FROM f), k AS (SELECT *, lag(record_id) OVER s AS prior FROM e WINDOW s AS (PARTITION BY namespace, source_id, stable_key ORDER BY op_seq)),
- m AS (SELECT *, lead(op_seq) OVER s AS seq_to, lag(record_id) OVER s AS supersedes FROM k
-   WHERE NOT (kind = 'assert' AND prior IS NOT NULL AND record_id = prior) WINDOW s AS (PARTITION BY namespace, source_id, stable_key ORDER BY op_seq)),
- v AS (SELECT namespace, source_id, stable_key, record_id, op_seq AS seq_from, seq_to, supersedes FROM m WHERE kind <> 'forget')"""
+_V = STEPS + """, h AS (SELECT namespace, source_id, stable_key, unnest(e.h) AS x FROM ends),
+ k AS (SELECT namespace, source_id, stable_key, x.q AS op_seq, x.o AS outcome, x.r AS record_id, x.p AS prior FROM h),
+ m AS (SELECT *, lead(op_seq) OVER (PARTITION BY namespace, source_id, stable_key ORDER BY op_seq) AS seq_to FROM k WHERE outcome NOT IN ('unchanged', 'refused')),
+ v AS (SELECT namespace, source_id, stable_key, record_id, op_seq AS seq_from, seq_to, prior AS supersedes FROM m WHERE outcome <> 'forgotten')"""
 _VD = "v AS (SELECT DISTINCT row_id, record_id, namespace, producer_version FROM view_dense)"
 
 ORACLES = {
@@ -161,7 +161,8 @@ ORACLES = {
     "live_records": _V + " SELECT namespace, source_id, stable_key, record_id FROM v WHERE seq_to IS NULL",
     "one_live_violations": f"WITH {_R} SELECT namespace, source_id, stable_key, count(DISTINCT row_id) AS rows FROM r WHERE tx_to IS NULL GROUP BY ALL HAVING count(DISTINCT row_id) > 1",
     "as_of_snapshot": f"WITH {_R} SELECT namespace, count(*) AS rows, min(row_id) AS first_row FROM r WHERE tx_from <= timestamptz '2026-06-01 00:00:00+00' AND (tx_to IS NULL OR tx_to > timestamptz '2026-06-01 00:00:00+00') GROUP BY 1",
-    "forget_effect": _V + " SELECT v.namespace, v.source_id, v.stable_key, v.record_id, seq_from, seq_to FROM v JOIN f ON f.namespace = v.namespace AND f.source_id = v.source_id AND f.stable_key = v.stable_key AND f.op_seq = v.seq_to",
+    "write_outcomes": _V + " SELECT namespace, source_id, stable_key, op_seq, outcome FROM k",
+    "forget_effect": _V + " SELECT namespace, source_id, stable_key, prior AS record_id, op_seq AS seq_to FROM m WHERE outcome = 'forgotten'",
     "change_feed": "SELECT DISTINCT op_seq, namespace, coalesce(record_id, target_id) AS record_id, CASE WHEN kind = 'forget' THEN 'forgotten' ELSE 'created' END AS change FROM write_ops WHERE op_seq > 3000",
     "tier_clamp": """SELECT DISTINCT row_id, CASE WHEN lower(provenance.authority_tier) IN ('primary', 'corroborated')
      AND NOT coalesce(list_contains(provenance.writer.capabilities, 'verified_source'), false) THEN 'inferred' ELSE lower(provenance.authority_tier) END AS tier FROM records""",

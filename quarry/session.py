@@ -28,8 +28,9 @@ def build(app: str = "quarry", cores: str = "*", shuffle_partitions: int = 8) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, local mode) a temporary folder is set
-    for this session; a cluster always names its own.
+    Where the setting is absent a temporary folder is set for this session, in
+    local mode only: on a cluster every machine would have one of its own, so
+    there a missing setting is an error.
     """
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
@@ -39,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named.rstrip("/")
     if not current.isDefined():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quarry-"))
         current = context._jsc.sc().getCheckpointDir()
     return str(current.get()).rstrip("/")
@@ -49,6 +52,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders written by ``stage``, by application.
+_STAGED: dict[str, list[str]] = {}
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete what ``stage`` wrote for this application; frames that still read it must have been written or collected."""
+    from quarry.sources import files
+
+    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        files.delete(spark, path)
+    return len(paths)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -56,9 +73,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back (columnar cut)."""
+    """Write ``df`` once to the shared folder and read it back (columnar cut); ``sweep`` deletes it."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
+    _STAGED.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -38,3 +38,8 @@ def write_text_atomic(spark: SparkSession, path: str, text: str) -> bool:
 def names(spark: SparkSession, path: str) -> list[str]:
     p, fs = _fs(spark, path)
     return sorted(str(s.getPath().getName()) for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    p, fs = _fs(spark, path)
+    return fs.delete(p, True)

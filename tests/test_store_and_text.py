@@ -12,11 +12,47 @@ from quarry.sources import documents
 from quarry.streaming import views
 
 
+OPS = "op_seq long, namespace string, kind string, record_id string, old_id string, target_id string, source_id string, stable_key string, idempotency_key string"
+
+
 def test_versions(spark):
-    ops = [(1, "assert", "A", None), (2, "assert", "A", None), (3, "supersede", "B", None), (4, "forget", None, "B"), (5, "assert", "B", None)]
-    df = spark.createDataFrame([(s, "n", k, r, "src", "key", t) if k != "forget" else (s, "n", k, None, None, None, t) for s, k, r, t in ops], "op_seq long, namespace string, kind string, record_id string, source_id string, stable_key string, target_id string")
-    got = sorted((r.record_id, r.seq_from, r.seq_to) for r in store.versions(store.log_events(df.union(df))).collect())
-    assert got == [("A", 1, 3), ("B", 3, 4), ("B", 5, None)]
+    ops = [(1, "assert", "A", None), (2, "assert", "A", None), (3, "supersede", "B", "A"), (4, "forget", None, "B"), (5, "assert", "B", None), (6, "supersede", "C", "A"), (7, "supersede", "B", "B")]
+    rows = [(s, "n", k, r, o if k != "forget" else None, o if k == "forget" else None, "src" if r else None, "key" if r else None, None) for s, k, r, o in ops]
+    df = spark.createDataFrame(rows, OPS)
+    got = sorted((r.record_id, r.seq_from, r.seq_to, r.supersedes) for r in store.versions(df.union(df)).collect())
+    assert got == [("A", 1, 3, None), ("B", 3, 4, "A"), ("B", 5, 7, None), ("B", 7, None, "B")]
+    from quarry.operators import changefeed
+
+    assert {r.op_seq: r.outcome for r in changefeed.history(df).collect()} == {1: "created", 2: "unchanged", 3: "superseded", 4: "forgotten", 5: "created", 6: "refused", 7: "superseded"}
+
+
+def test_history_in_pieces_is_the_same(spark, monkeypatch):
+    from quarry.operators import changefeed
+    from tests.test_changefeed import SCHEMA, feed
+
+    df = spark.createDataFrame(feed(5), SCHEMA)
+    whole = {tuple(r) for r in changefeed.history(df).collect()}
+    monkeypatch.setattr(changefeed, "PIECE", 7)
+    assert {tuple(r) for r in changefeed.history(df).collect()} == whole
+
+
+def test_append_log_numbers_the_batch_in_order(spark):
+    log = spark.createDataFrame([(7,)], "position long")
+    batch = spark.createDataFrame([(n * 37 % 101, n) for n in range(101)], "at int, x int")
+    got = {r.at: r.position for r in store.append_log(log, batch, ["at", "x"]).collect()}
+    assert got == {n: 8 + n for n in range(101)}
+    assert store.append_log(log.limit(0), batch.limit(0), ["at"]).count() == 0
+
+
+def test_admission(spark):
+    cols = "namespace string, source_id string, stable_key string, writer_namespace string, text string"
+    changes = spark.createDataFrame([("n", "s", "a", "n", "new"), ("n", "s", "b", "m", "x"), ("n", "s", "c", "n", "same"), ("n", "s", "d", None, "x")], cols)
+    records = spark.createDataFrame([(1, "n", "s", "c", "same", "r1", None), (2, "m", "s", "c", "same", "r1", None)], "row_id long, namespace string, source_id string, stable_key string, body_text string, record_id string, tx_to timestamp")
+    from pyspark.sql import functions as F
+
+    changed = F.col("prior_text").isNull() | (F.col("prior_text") != F.col("text"))
+    assert [r.stable_key for r in store.admitted(changes, records, [changed]).collect()] == ["a"]
+    assert [tuple(r) for r in store.ambiguous(records, records).collect()] == [("r1", 2)]
 
 
 def test_markdown_fences_and_paths():
