@@ -27,8 +27,17 @@ def recall_any_at_10(spark: SparkSession, d: str) -> DataFrame:
     return E.recall_any(*_both(spark, d), 10, ["op_kind"])
 
 
+def _dense(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "candidate_sets").where("namespace = plan_namespace and score_method = 'cosine' and not isnan(score)")
+    return c.groupBy("plan_id").agg(F.max("score").alias("best"))
+
+
 def calibration_grid(spark: SparkSession, d: str) -> DataFrame:
-    return E.calibration(*_both(spark, d))
+    return E.calibration(*_both(spark, d), _dense(spark, d))
+
+
+def calibrated_policies(spark: SparkSession, d: str) -> DataFrame:
+    return E.calibrated(*_both(spark, d), _dense(spark, d), least=3)
 
 
 def holdout_split(spark: SparkSession, d: str) -> DataFrame:
@@ -74,12 +83,24 @@ def first_positions(spark: SparkSession, d: str) -> DataFrame:
     return rerank.first_position(c.withColumn("q", F.concat_ws("/", "plan_id", "op_kind")), "q", "record_id").select("q", "record_id", "rank")
 
 
-QUERIES = {f.__name__: f for f in (rerank_by_overlap, first_positions, mrr, ndcg_at_10, recall_any_at_10, calibration_grid, holdout_split, regression_gate, score_violations, repeated_results, agreement_grid, foreign_results)}
+QUERIES = {f.__name__: f for f in (rerank_by_overlap, first_positions, mrr, ndcg_at_10, recall_any_at_10, calibration_grid, calibrated_policies, holdout_split, regression_gate, score_violations, repeated_results, agreement_grid, foreign_results)}
 
 _B = """WITH own AS (SELECT plan_id, op_kind, record_id, min(pos) AS pos FROM candidate_sets WHERE namespace = plan_namespace GROUP BY ALL),
  ranks AS (SELECT *, row_number() OVER (PARTITION BY plan_id, op_kind ORDER BY pos, record_id) - 1 AS rank0 FROM own),
  j AS (SELECT plan_id, record_id, (max(score) > 0)::int AS useful FROM candidate_sets WHERE op_kind = 'rerank' AND namespace = plan_namespace AND score IS NOT NULL AND NOT isnan(score) GROUP BY ALL)"""
 
+_GRID = _B + """, jn AS (SELECT plan_id, max(plan_namespace) AS ns FROM candidate_sets WHERE namespace = plan_namespace GROUP BY 1),
+ best AS (SELECT plan_id, max(score) AS best FROM candidate_sets WHERE namespace = plan_namespace AND score_method = 'cosine' AND NOT isnan(score) GROUP BY 1),
+ w AS (SELECT unnest([0.5, 1.0, 2.0])::double AS w), fl AS (SELECT unnest([0.35, 0.44, 0.55])::double AS floor),
+ grid AS (SELECT (row_number() OVER (ORDER BY a.w, b.w, c.w, floor) - 1)::int AS setting, a.w AS grep, b.w AS bm25, c.w AS ann, floor FROM w a, w b, w c, fl),
+ x AS (SELECT plan_id, record_id, max(CASE WHEN op_kind = 'grep' THEN 1 / (61.0::double + rank0) END) AS rg, max(CASE WHEN op_kind = 'bm25' THEN 1 / (61.0::double + rank0) END) AS rb,
+   max(CASE WHEN op_kind = 'ann' THEN 1 / (61.0::double + rank0) END) AS ra FROM ranks WHERE op_kind <> 'rerank' AND plan_id IN (SELECT plan_id FROM j WHERE useful = 1) GROUP BY ALL),
+ s AS (SELECT grid.*, plan_id, record_id, round(coalesce(rg, 0) * grep + coalesce(rb, 0) * bm25 + coalesce(ra, 0) * ann, 12) AS score FROM x, grid),
+ r AS (SELECT *, row_number() OVER (PARTITION BY setting, plan_id ORDER BY score DESC, record_id) AS rank FROM s),
+ p AS (SELECT setting, grep, bm25, ann, floor, plan_id, min(CASE WHEN useful = 1 THEN rank END) AS r FROM r LEFT JOIN j USING (plan_id, record_id) GROUP BY ALL),
+ rr AS (SELECT p.*, ns, CASE WHEN best >= floor AND r IS NOT NULL THEN 1.0::double / r ELSE 0 END AS rr FROM p JOIN jn USING (plan_id) LEFT JOIN best USING (plan_id))"""
+_FIFTH = "list_sum(list_transform(string_split(sha256(plan_id), ''), lambda x: instr('0123456789abcdef', x) - 1))::bigint % 5"
+
 ORACLES = {
     "mrr": _B + """, p AS (SELECT op_kind, plan_id, min(CASE WHEN useful = 1 THEN rank0 + 1 END) AS r FROM ranks LEFT JOIN j USING (plan_id, record_id) GROUP BY ALL)
      SELECT op_kind, count(*) AS plans, round(avg(coalesce(1.0::double / r, 0)), 6) AS mrr FROM p GROUP BY 1""",
@@ -88,13 +109,14 @@ ORACLES = {
      SELECT op_kind, count(*) AS plans, round(avg(dcg / ideal), 6) AS ndcg FROM g JOIN i USING (plan_id) WHERE ideal > 0 GROUP BY 1""",
     "recall_any_at_10": _B + """, p AS (SELECT op_kind, plan_id, max(coalesce(useful, 0)) AS hit FROM ranks LEFT JOIN j USING (plan_id, record_id) WHERE rank0 < 10 GROUP BY ALL)
      SELECT op_kind, count(*) AS plans, round(avg(hit), 6) AS recall FROM p GROUP BY 1""",
-    "calibration_grid": _B + """, w AS (SELECT unnest([0.5, 1.0, 2.0])::double AS w), grid AS (SELECT (row_number() OVER (ORDER BY a.w, b.w, c.w) - 1)::int AS setting, a.w AS grep, b.w AS bm25, c.w AS ann FROM w a, w b, w c),
-     x AS (SELECT plan_id, record_id, max(CASE WHEN op_kind = 'grep' THEN 1 / (61.0::double + rank0) END) AS rg, max(CASE WHEN op_kind = 'bm25' THEN 1 / (61.0::double + rank0) END) AS rb,
-       max(CASE WHEN op_kind = 'ann' THEN 1 / (61.0::double + rank0) END) AS ra FROM ranks WHERE op_kind <> 'rerank' AND plan_id IN (SELECT plan_id FROM j WHERE useful = 1) GROUP BY ALL),
-     s AS (SELECT grid.*, plan_id, record_id, round(coalesce(rg, 0) * grep + coalesce(rb, 0) * bm25 + coalesce(ra, 0) * ann, 12) AS score FROM x, grid),
-     r AS (SELECT *, row_number() OVER (PARTITION BY setting, plan_id ORDER BY score DESC, record_id) AS rank FROM s),
-     p AS (SELECT setting, grep, bm25, ann, plan_id, min(CASE WHEN useful = 1 THEN rank END) AS r FROM r LEFT JOIN j USING (plan_id, record_id) GROUP BY ALL)
-     SELECT setting, grep, bm25, ann, count(*) AS plans, round(avg(coalesce(1.0::double / r, 0)), 6) AS mrr FROM p GROUP BY ALL""",
+    "calibration_grid": _GRID + " SELECT setting, grep, bm25, ann, floor, count(*) AS plans, round(avg(rr), 6) AS mrr FROM rr GROUP BY ALL",
+    "calibrated_policies": _GRID + f""", f AS (SELECT *, CASE WHEN {_FIFTH} = 0 THEN 'holdout' ELSE 'train' END AS fold0 FROM rr),
+     held AS (SELECT ns, count(DISTINCT plan_id) AS plans, bool_or(fold0 = 'holdout') AS any_held, max(plan_id) AS last FROM f GROUP BY 1),
+     g AS (SELECT f.*, held.plans, CASE WHEN NOT any_held AND plan_id = last THEN 'holdout' ELSE fold0 END AS fold FROM f JOIN held USING (ns)),
+     per AS (SELECT ns, plans, setting, grep, bm25, ann, floor, round(avg(rr) FILTER (fold = 'train'), 6) AS train_mrr, round(avg(rr) FILTER (fold = 'holdout'), 6) AS holdout_mrr FROM g GROUP BY ALL),
+     best AS (SELECT *, row_number() OVER (PARTITION BY ns ORDER BY coalesce(train_mrr, -1) DESC, setting) AS n FROM per)
+     SELECT best.* EXCLUDE (n), d.holdout_mrr AS declared_mrr, plans >= 3 AND coalesce(best.holdout_mrr > d.holdout_mrr, false) AS promoted
+     FROM best JOIN (SELECT ns, holdout_mrr FROM per WHERE grep = 1 AND bm25 = 1 AND ann = 1 AND floor = 0.44) d USING (ns) WHERE n = 1""",
     "holdout_split": """WITH d AS (SELECT DISTINCT plan_id FROM candidate_sets), b AS (SELECT plan_id, list_sum(list_transform(string_split(sha256(plan_id), ''), lambda x: instr('0123456789abcdef', x) - 1))::bigint % 5 AS bucket FROM d)
      SELECT plan_id, bucket, CASE WHEN bucket = 0 THEN 'holdout' ELSE 'train' END AS fold FROM b""",
     "regression_gate": """WITH h AS (SELECT source AS case_id, bool_or(contains(text, 'review')) AND bool_or(contains(text, 'export')) AS found, max(CASE WHEN length(text) > 50 THEN 0.6 ELSE 0.3 END) AS s FROM documents WHERE text IS NOT NULL GROUP BY 1)

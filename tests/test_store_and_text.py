@@ -113,8 +113,18 @@ def test_view_refresh_is_incremental_and_idempotent(spark, tmp_path):
     assert view._pointers() == before
     df([("a", 2)]).write.mode("append").parquet(log)
     assert {tuple(r) for r in view.refresh(log, df([]).schema).collect()} == {("a", 2), ("b", 1)}
-    view.apply(df([("a", 0)]), 0)  # a batch that is committed is passed over
+    view.apply(df([("a", 0)]), 0, view._stream())  # a batch that is committed is passed over
     assert {tuple(r) for r in view.read().collect()} == {("a", 2), ("b", 1)}
+    kept = view._last()["buckets"]
+    view.apply(df([("a", 3)]), 9, "other")
+    after = view._last()["buckets"]
+    assert sum(after[b] != kept.get(b) for b in after) == 1 and view.reports()[-1] == {"batch": 9, "keys": 1, "buckets": 1, "removed": 1}
+    # A lost checkpoint reads the log again, and nothing is passed over.
+    from quarry.sources import files
+
+    files.delete(spark, view.path + "/checkpoint")
+    df([("c", 1)]).write.mode("append").parquet(log)
+    assert {tuple(r) for r in view.refresh(log, df([]).schema).collect()} == {("a", 2), ("b", 1), ("c", 1)}
 
 
 def test_sources(spark, tmp_path):
