@@ -109,12 +109,6 @@ def lexical(df: DataFrame, query: str, k: int = 50, text: str = "text", key: str
     return ranked(joined.withColumn("score", F.round(score, 6)), "bm25", k, key, key)
 
 
-def postings(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, term, tf, positions): the inverted index of a table; positions from 0."""
-    exploded = df.where(F.col(text).isNotNull()).select(key, F.posexplode(T.words(F.col(text))).alias("pos", "term"))
-    return exploded.groupBy(key, "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 

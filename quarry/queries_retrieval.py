@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import filters
 from quarry.functions import text as T
-from quarry.operators import fusion, retrieval
+from quarry.operators import fusion, lexical, retrieval
 from quarry.plans import search as plans
 from quarry.session import table
 
@@ -38,30 +38,42 @@ def _lexical_sql(where: str, terms: list[str], k: int, tenant: bool = True) -> s
     dfs = ", ".join(f"sum((tf{i} > 0)::int) AS df{i}" for i in range(len(terms)))
     score = " + ".join(f"ln(1 + (N - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(terms)))
     ns = f"AND namespace = '{NS}'" if tenant else ""
-    return f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text[1:200000]), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL {ns}),
+    return f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL {ns}),
     r AS (SELECT doc_id, len(w) AS dl, w, {tf} FROM t), s AS (SELECT count(*) AS N, avg(dl) AS avgdl, {dfs} FROM r),
     c AS (SELECT doc_id, round({score}, 6) AS score FROM r, s WHERE {where} ORDER BY 2 DESC, 1 LIMIT {k})
     SELECT 'bm25' AS op_kind, doc_id AS id, score, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS rank FROM c"""
 
 
+def _index(spark: SparkSession, d: str, config: str = "simple") -> lexical.Index:
+    return lexical.shared(table(spark, d, "documents"), f"{d}/documents", config=config)
+
+
 def lexical_match_all(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.lexical(_docs(spark, d), QUERY, 50)
+    return _index(spark, d).search(QUERY, 50, NS)
 
 
 def lexical_or_not(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.lexical(_docs(spark, d), "glossary or inventory -payroll", 50)
+    return _index(spark, d).search("glossary or inventory -payroll", 50, NS)
 
 
 def lexical_phrase(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.lexical(table(spark, d, "documents"), '"retention schedule"', 50)
+    return _index(spark, d).search('"retention schedule"', 50)
 
 
 def lexical_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.lexical(table(spark, d, "documents"), "audit export", 10)
+    return _index(spark, d).search("audit export", 10)
+
+
+def lexical_scan(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.lexical(_docs(spark, d), QUERY, 50)
+
+
+def lexical_stemmed(spark: SparkSession, d: str) -> DataFrame:
+    return _index(spark, d, "english").search("the archived queues reviewing", 50)
 
 
 def postings_stats(spark: SparkSession, d: str) -> DataFrame:
-    p = retrieval.postings(table(spark, d, "documents"))
+    p = lexical.postings(table(spark, d, "documents"))
     return p.groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("total"), F.min("doc_id").alias("first_doc"), F.sum(F.element_at("positions", 1)).alias("first_positions"))
 
 
@@ -162,7 +174,7 @@ def entitlement_stale(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        grep_topk, grep_duplicate_terms, grep_all_tenants, lexical_match_all, lexical_or_not, lexical_phrase, lexical_bm25_topk, postings_stats,
+        grep_topk, grep_duplicate_terms, grep_all_tenants, lexical_match_all, lexical_or_not, lexical_phrase, lexical_bm25_topk, lexical_scan, lexical_stemmed, postings_stats,
         dense_cosine_topk, dense_topk_per_label, rrf_fuse, rrf_weighted, operator_ranks, agreement_sufficiency, abstain_gate, rerank_pool,
         top3_per_operator, source_glob_postfilter, hybrid_search, tenancy_exact, entitlement_fresh, entitlement_stale,
     )
@@ -195,7 +207,8 @@ ORACLES = {
     "lexical_or_not": _lexical_sql("(tf0 > 0 OR tf1 > 0) AND NOT list_contains(w, 'payroll')", ["glossary", "inventory"], 50),
     "lexical_phrase": _lexical_sql("contains(' ' || array_to_string(w, ' ') || ' ', ' retention schedule ')", ["retention", "schedule"], 50, False),
     "lexical_bm25_topk": _lexical_sql(_ALL(2), ["audit", "export"], 10, False),
-    "postings_stats": r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text[1:200000]), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+    "lexical_scan": _lexical_sql(_ALL(3), _TWO, 50),
+    "postings_stats": r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
      e AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM w), p AS (SELECT doc_id, term, count(*) AS tf, min(pos) AS first FROM e GROUP BY ALL)
      SELECT term, count(*) AS docs, sum(tf)::bigint AS total, min(doc_id) AS first_doc, sum(first)::bigint AS first_positions FROM p GROUP BY term""",
     "dense_cosine_topk": """WITH q AS (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1),
