@@ -90,7 +90,7 @@ _B = """WITH own AS (SELECT plan_id, op_kind, record_id, min(pos) AS pos FROM ca
  j AS (SELECT plan_id, record_id, (max(score) > 0)::int AS useful FROM candidate_sets WHERE op_kind = 'rerank' AND namespace = plan_namespace AND score IS NOT NULL AND NOT isnan(score) GROUP BY ALL)"""
 
 _GRID = _B + """, jn AS (SELECT plan_id, max(plan_namespace) AS ns FROM candidate_sets WHERE namespace = plan_namespace GROUP BY 1),
- best AS (SELECT plan_id, max(score) AS best FROM candidate_sets WHERE namespace = plan_namespace AND score_method = 'cosine' AND NOT isnan(score) GROUP BY 1),
+ top AS (SELECT plan_id, max(score) AS best FROM candidate_sets WHERE namespace = plan_namespace AND score_method = 'cosine' AND NOT isnan(score) GROUP BY 1),
  w AS (SELECT unnest([0.5, 1.0, 2.0])::double AS w), fl AS (SELECT unnest([0.35, 0.44, 0.55])::double AS floor),
  grid AS (SELECT (row_number() OVER (ORDER BY a.w, b.w, c.w, floor) - 1)::int AS setting, a.w AS grep, b.w AS bm25, c.w AS ann, floor FROM w a, w b, w c, fl),
  x AS (SELECT plan_id, record_id, max(CASE WHEN op_kind = 'grep' THEN 1 / (61.0::double + rank0) END) AS rg, max(CASE WHEN op_kind = 'bm25' THEN 1 / (61.0::double + rank0) END) AS rb,
@@ -98,7 +98,7 @@ _GRID = _B + """, jn AS (SELECT plan_id, max(plan_namespace) AS ns FROM candidat
  s AS (SELECT grid.*, plan_id, record_id, round(coalesce(rg, 0) * grep + coalesce(rb, 0) * bm25 + coalesce(ra, 0) * ann, 12) AS score FROM x, grid),
  r AS (SELECT *, row_number() OVER (PARTITION BY setting, plan_id ORDER BY score DESC, record_id) AS rank FROM s),
  p AS (SELECT setting, grep, bm25, ann, floor, plan_id, min(CASE WHEN useful = 1 THEN rank END) AS r FROM r LEFT JOIN j USING (plan_id, record_id) GROUP BY ALL),
- rr AS (SELECT p.*, ns, CASE WHEN best >= floor AND r IS NOT NULL THEN 1.0::double / r ELSE 0 END AS rr FROM p JOIN jn USING (plan_id) LEFT JOIN best USING (plan_id))"""
+ rr AS (SELECT p.*, ns, CASE WHEN best >= floor AND r IS NOT NULL THEN 1.0::double / r ELSE 0 END AS rr FROM p JOIN jn USING (plan_id) LEFT JOIN top USING (plan_id))"""
 _FIFTH = "list_sum(list_transform(string_split(sha256(plan_id), ''), lambda x: instr('0123456789abcdef', x) - 1))::bigint % 5"
 
 ORACLES = {

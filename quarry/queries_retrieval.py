@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.context import Principal
 from quarry.functions import filters
 from quarry.functions import text as T
 from quarry.operators import fusion, lexical, retrieval
@@ -132,9 +133,49 @@ def source_glob_postfilter(spark: SparkSession, d: str) -> DataFrame:
     return top.join(docs.select(F.col("doc_id").alias("id"), "source"), "id").where(T.glob_match(F.col("source"), "*-[a-m]*")).select("id", "source", "score", "rank")
 
 
+def _frames(spark: SparkSession, d: str) -> plans.Frames:
+    """The record store with its dense view, the postings of its texts, and a query vector of the namespace."""
+    r = table(spark, d, "records").select(
+        F.col("row_id").alias("doc_id"), F.col("body_text").alias("text"), "namespace", F.coalesce(F.element_at("section_path", 1), F.lit("")).alias("source"),
+        F.col("provenance.writer.namespace").alias("writer"), F.col("tx_to").isNull().alias("live"),
+    ).dropDuplicates(["doc_id"])
+    v = table(spark, d, "view_dense").where("size(embedding) = 64").select(F.col("row_id").alias("doc_id"), "namespace", "embedding").dropDuplicates(["doc_id"])
+    good = v.where((F.col("namespace") == NS) & ~F.exists("embedding", lambda x: F.isnan(x) | x.isNull()) & F.exists("embedding", lambda x: x != 0))
+    q = good.orderBy("doc_id").select("embedding").first()
+    index = lexical.shared(r.where("live"), f"{d}/records")
+    return plans.Frames(r, v, [float(x) for x in q[0]] if q else None, index)
+
+
+HYBRID = "retention approval review"
+
+
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    plan = plans.compile_plan(QUERY, NS, available=("grep", "bm25"), tokens_max=2000)
-    return plans.execute(plan, plans.Frames(documents=table(spark, d, "documents")))
+    plan = plans.compile_plan(HYBRID, NS, tokens_max=2000)
+    return plans.execute(plan, _frames(spark, d))
+
+
+def hybrid_reranked(spark: SparkSession, d: str) -> DataFrame:
+    plan = plans.compile_plan(HYBRID, NS, tokens_max=2000, reranker="overlap", policy=plans.Policy(rerank_depth=5))
+    return plans.execute(plan, _frames(spark, d)).select("id", "ops", "rank", F.round("score", 6).alias("score"), "sufficiency")
+
+
+def search_hits(spark: SparkSession, d: str) -> DataFrame:
+    frames, plan = _frames(spark, d), plans.compile_plan(HYBRID, NS, tokens_max=800, available=("grep",))
+    return plans.hits(plans.execute(plan, frames), frames, plan)
+
+
+def fetch_hit(spark: SparkSession, d: str) -> DataFrame:
+    frames, me = _frames(spark, d), Principal("reader", NS)
+    first = frames.documents.where((F.col("namespace") == NS) & F.col("live")).agg(F.min("doc_id")).first()[0]
+    return plans.fetch(plans.issue(me, "pl_0", first, b"key"), me, frames, b"key")
+
+
+def search_trace(spark: SparkSession, d: str) -> DataFrame:
+    frames = _frames(spark, d)
+    plan = plans.compile_plan(HYBRID, NS, tokens_max=800, available=("grep",))
+    kept = []
+    plans.run(plan, frames, kept.append)
+    return plans.replay(kept[0], plan.plan_id, NS)
 
 
 # The filter algebra on documents: lang is the nullable field.
@@ -176,7 +217,7 @@ QUERIES = {
     for f in (
         grep_topk, grep_duplicate_terms, grep_all_tenants, lexical_match_all, lexical_or_not, lexical_phrase, lexical_bm25_topk, lexical_scan, lexical_stemmed, postings_stats,
         dense_cosine_topk, dense_topk_per_label, rrf_fuse, rrf_weighted, operator_ranks, agreement_sufficiency, abstain_gate, rerank_pool,
-        top3_per_operator, source_glob_postfilter, hybrid_search, tenancy_exact, entitlement_fresh, entitlement_stale,
+        top3_per_operator, source_glob_postfilter, hybrid_search, hybrid_reranked, search_hits, fetch_hit, search_trace, tenancy_exact, entitlement_fresh, entitlement_stale,
     )
 } | {f"filter_{k}": _filtered(n) for k, (n, _) in FILTERS.items()}
 
@@ -190,6 +231,12 @@ def _grep_sql(terms: list[str], k: int, tenant: bool = True) -> str:
     SELECT 'grep' AS op_kind, doc_id AS id, score, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS rank FROM c"""
 
 
+_LIVE = f"WITH live AS (SELECT DISTINCT ON (row_id) row_id AS doc_id, body_text AS text, namespace, coalesce(section_path[1], '') AS source FROM records WHERE tx_to IS NULL AND namespace = '{NS}' AND provenance.writer.namespace = '{NS}')"
+_WORDS = HYBRID.split()
+_ON_LIVE = lambda sql: sql.replace("FROM documents", "FROM live")
+_HITS = _LIVE + f", g AS ({_ON_LIVE(_grep_sql(_WORDS, 50))}), h AS (SELECT id, round(1.0::double / (61 + rank), 9) AS rrf, rank + 1 AS rank FROM g WHERE rank < 10)"
+
+
 _ALL = lambda n: " AND ".join(f"tf{i} > 0" for i in range(n))
 _RANKS = """own AS (SELECT plan_id, plan_namespace AS ns, op_kind, record_id, min(pos) AS pos FROM candidate_sets WHERE namespace = plan_namespace GROUP BY ALL),
  ranks AS (SELECT *, row_number() OVER (PARTITION BY plan_id, op_kind ORDER BY pos, record_id) - 1 AS rank0 FROM own)"""
@@ -199,6 +246,16 @@ _PLAIN = _RRF.format(w="1.0::double", j="")
 _WEIGHED = _RRF.format(w="coalesce(element_at(f.fusion_weights, op_kind)[1], 1.0)::double", j="LEFT JOIN fusion_policies f ON f.namespace = ranks.ns")
 _TWO = ["review", "queue", "archive"]
 
+_HYBRID = _LIVE + f""", g AS ({_ON_LIVE(_grep_sql(_WORDS, 50))}), l AS ({_ON_LIVE(_lexical_sql(_ALL(3), _WORDS, 50))}),
+ v AS (SELECT DISTINCT ON (row_id) row_id, embedding::double[] AS e FROM view_dense WHERE namespace = '{NS}' AND len(embedding) = 64),
+ q AS (SELECT e AS q FROM v WHERE NOT list_bool_or(list_transform(e, lambda x: x IS NULL OR isnan(x))) AND list_bool_or(list_transform(e, lambda x: x <> 0)) ORDER BY row_id LIMIT 1),
+ c AS (SELECT row_id AS id, round(list_cosine_similarity(e, q), 6) AS score FROM v, q WHERE row_id IN (SELECT doc_id FROM live) AND NOT list_bool_or(list_transform(e, lambda x: x IS NULL OR isnan(x))) AND list_bool_or(list_transform(e, lambda x: x <> 0)) ORDER BY 2 DESC, 1 LIMIT 50),
+ a AS (SELECT 'ann' AS op_kind, id, score, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM c),
+ r AS (FROM g UNION ALL FROM l UNION ALL FROM a), best AS (SELECT max(score) AS dense FROM a),
+ s AS (SELECT id, round(sum(1.0::double / (61 + rank)), 9) AS rrf, count(*) AS ops, min(rank) AS best FROM r GROUP BY 1),
+ f AS (SELECT *, row_number() OVER (ORDER BY rrf DESC, id) AS place FROM s), t AS (SELECT id, rrf, ops, place AS rank FROM f WHERE place <= 25),
+ agreed AS (SELECT avg(CASE WHEN ops >= 2 THEN 1.0 ELSE 0.0 END)::double AS agree FROM t)"""
+
 ORACLES = {
     "grep_topk": _grep_sql(["the", "and", "of"], 10),
     "grep_duplicate_terms": _grep_sql(["queue", "queue", "review"], 50),
@@ -232,10 +289,17 @@ ORACLES = {
     "rerank_pool": _PLAIN + " SELECT plan_id, record_id FROM fused WHERE rank <= 16 UNION SELECT plan_id, record_id FROM ranks WHERE rank0 < 3",
     "source_glob_postfilter": _grep_sql(["the"], 40).replace("SELECT 'grep' AS op_kind, doc_id AS id, score, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS rank FROM c",
      "SELECT id, source, score, rank FROM (SELECT doc_id AS id, score, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS rank FROM c) JOIN documents ON doc_id = id WHERE source GLOB '*-[a-m]*'"),
-    "hybrid_search": f"""WITH g AS ({_grep_sql(_TWO, 50)}), l AS ({_lexical_sql(_ALL(3), _TWO, 50)}), r AS (FROM g UNION ALL FROM l),
-     s AS (SELECT id, round(sum(1.0::double / (61 + rank)), 9) AS rrf, count(*) AS ops FROM r GROUP BY 1),
-     f AS (SELECT *, row_number() OVER (ORDER BY rrf DESC, id) AS rank FROM s)
-     SELECT id, rrf, ops, rank FROM f WHERE rank <= 25""",
+    "hybrid_search": _HYBRID + """ SELECT id, rrf, ops, rank, rrf AS score,
+     round(least(0.9, 0.4 * (1 - 1 / (1 + count(*) OVER ()::double)) + 0.3 * (1 - 1 / (1 + max(rrf) OVER ())) + 0.3 * agree), 4) AS sufficiency FROM t, best, agreed WHERE best.dense >= 0.44""",
+    "hybrid_reranked": _HYBRID + f""", pool AS (SELECT f.*, greatest(p, 1e-300) AS p FROM (SELECT f.*, len(list_intersect(list_distinct(string_split('{HYBRID}', ' ')), list_distinct(regexp_extract_all(lower(text), '[^\\s]+')))) / 3.0::double AS p
+       FROM f JOIN live ON doc_id = id WHERE place <= 5 OR best < 3) f),
+     z AS (SELECT *, round(1 / (1 + exp(-ln((p + 1e-6) / (1 - p + 1e-6)))), 9) AS score FROM pool)
+     SELECT id, ops, row_number() OVER (ORDER BY score DESC, id) AS rank, round(score, 6) AS score,
+     round(least(0.9, 0.4 * (1 - 1 / (1 + count(*) OVER ()::double)) + 0.3 * (1 - 1 / (1 + max(score) OVER ())) + 0.3 * agree), 4) AS sufficiency FROM z, best, agreed WHERE best.dense >= 0.44""",
+    "search_hits": _HITS + """ SELECT rank, id, coalesce(source, '') AS source_path, CASE WHEN length(flat) > 200 THEN flat[1:200] || '...' ELSE flat END AS snippet, 0::bigint AS span_start, length(text) AS span_end,
+     round(least(0.9, 0.5 * (1 - 1 / (1 + count(*) OVER ()::double)) + 0.5 * (1 - 1 / (1 + max(rrf) OVER ()))), 4) AS sufficiency, 'sufficient' AS status FROM (SELECT h.*, source, text, replace(text, chr(10), ' ') AS flat FROM h JOIN live ON doc_id = id)""",
+    "search_trace": _HITS + " SELECT rank, id, rrf, 1::bigint AS ops FROM h",
+    "fetch_hit": _LIVE + " SELECT doc_id AS id, source, text FROM live ORDER BY doc_id LIMIT 1",
     "tenancy_exact": f"SELECT DISTINCT row_id, record_id FROM records WHERE namespace = '{NS}'",
     "entitlement_fresh": "SELECT DISTINCT row_id FROM records WHERE policy_id = 'document-v1'",
     "entitlement_stale": "SELECT DISTINCT row_id FROM records WHERE false",

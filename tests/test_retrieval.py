@@ -5,6 +5,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from quarry import context
+from quarry.context import Principal
 from quarry.functions import filters
 from quarry.functions import text as T
 from quarry.functions import tokens
@@ -139,7 +141,56 @@ def test_plan_explain_trace_replay(spark):
     traces = search.trace(plan, result)
     assert [r.id for r in search.replay(traces, plan.plan_id, "a").collect()] == [1]
     assert search.load(traces, plan.plan_id, "b") is None
-    assert search.load(traces, plan.plan_id, "a").diff(plan) == {}
+    stored = search.load(traces, plan.plan_id, "a")
+    assert stored.diff(plan) == {} and search.recompile(stored, search.Policy(), available=("grep", "bm25")).diff(plan) == {}
+    with pytest.raises(ValueError):
+        search.execute(stored, search.Frames(docs(spark)))
+
+
+def test_backstop_drops_foreign_and_dead_records(spark):
+    df = spark.createDataFrame([(1, "cat", "a", "x", "a", True), (2, "cat", "a", "x", "b", True), (3, "cat", "a", "x", "a", False)], "doc_id long, text string, namespace string, source string, writer string, live boolean")
+    plan = search.compile_plan("cat", "a", available=("grep",))
+    assert [r.id for r in search.execute(plan, search.Frames(df)).collect()] == [1]
+
+    class Open:
+        def search(self, query, k, namespace):
+            return spark.createDataFrame([("bm25", i, 1.0, i - 1) for i in (1, 2, 3, 4)] + [("bm25", 1, 0.5, 9)], "op_kind string, id long, score double, rank long")
+
+    plan = search.compile_plan("cat", "a", available=("bm25",))
+    assert [(r.id, r.ops) for r in search.execute(plan, search.Frames(df, index=Open())).collect()] == [(1, 1)]
+
+
+def test_rerank_step_orders_the_pool(spark):
+    plan = search.compile_plan("cat hat", "a", available=("grep",), reranker="overlap")
+    assert "rerank" in plan.explain() and plan.cost_by_stage() == {"search:grep": 5, "rerank": 0}
+    rows = search.execute(plan, search.Frames(docs(spark), scorer=lambda q, t: [-len(x) for x in t])).orderBy("rank").collect()
+    assert [r.id for r in rows] == [2, 1] and rows[0].sufficiency > 0
+
+
+def test_floor_and_failure_traces(spark):
+    v = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "a", [0.0, 1.0])], "doc_id long, namespace string, embedding array<float>")
+    plan = search.compile_plan("cat", "a", policy=search.select_policy("a", {"a": {"floor": 0.9, "weights": {"grep": 2.0}}}))
+    assert "fusion_weight=2.0" in plan.explain() and search.select_policy("b", {"a": {"floor": 0.9}}).floor == 0.44
+    assert search.execute(plan, search.Frames(docs(spark), v, [1.0, 0.1])).count() == 2
+    assert search.execute(plan, search.Frames(docs(spark), v, [1.0, 1.0])).count() == 0
+    kept = []
+    rows = search.run(plan, search.Frames(docs(spark), v, [1.0, 0.1]), kept.append)
+    assert [r.id for r in rows] == [r.id for r in search.replay(kept[0], plan.plan_id, "a").orderBy("rank").collect()]
+    with pytest.raises(ValueError):
+        search.run(search.compile_plan("cat", "a", available=("ann",)), search.Frames(docs(spark)), kept.append)
+    assert kept[1].first().status == "error" and "no operator" in kept[1].first().error
+
+
+def test_tokens_open_only_their_namespace(spark):
+    me, other, frames = Principal("p", "a"), Principal("q", "b"), search.Frames(docs(spark))
+    t = search.issue(me, "pl_1", 2, b"k")
+    assert [r.text for r in search.fetch(t, me, frames, b"k").collect()] == ["a cat sat"]
+    assert search.fetch(t, other, frames, b"k").count() == 0 == search.fetch("junk", me, frames, b"k").count()
+    assert search.feedback(t, True, other, spark, b"k") is None and search.feedback(t, True, me, spark, b"k").first().record_id == "2"
+    with pytest.raises(PermissionError):
+        context.current()
+    with context.bound(me):
+        assert context.current() is me
 
 
 def test_glob_is_not_pushed_below_the_operators_limit(spark):

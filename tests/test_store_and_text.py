@@ -162,5 +162,5 @@ def test_queries_and_oracles_are_registered_alike(spark, sf):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     df = entry.entry(spark)
-    assert df.columns == ["id", "rrf", "ops", "rank"]
+    assert df.columns == ["id", "rrf", "ops", "rank", "score", "sufficiency"]
     df.collect()
