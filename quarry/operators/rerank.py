@@ -73,6 +73,11 @@ def crop_box(x0, y0, x1, y1, height, width):
     )
 
 
+def large_enough(left, top, right, bottom, height, width, share: float = 0.015):
+    """Whether a picture holds at least ``share`` of its page's area."""
+    return (right - left) * (bottom - top) >= F.lit(share) * height * width
+
+
 def best_reading(readings: DataFrame, script: str = "Latin", least: int = 24) -> DataFrame:
     """Per picture, of several readings the one with most letters of a script, if it has ``least`` of them; ties by engine."""
     letters = F.regexp_count("text", F.lit(rf"\p{{Is{script}}}"))

@@ -207,9 +207,11 @@ def entitlement_fresh(spark: SparkSession, d: str) -> DataFrame:
 
 
 def entitlement_stale(spark: SparkSession, d: str) -> DataFrame:
-    now = datetime(2026, 12, 1)
-    ok = filters.entitled("policy_id", ["document-v1"], now - timedelta(hours=6), now, timedelta(minutes=15))
-    return table(spark, d, "records").where(ok).select("row_id").distinct()
+    """Rows per policy, those that a fresh grant shows, and those that a stale one does."""
+    now, r = datetime(2026, 12, 1), table(spark, d, "records").select("row_id", "policy_id").distinct()
+    ok = lambda hours: filters.entitled("policy_id", ["document-v1"], now - timedelta(hours=hours), now, timedelta(hours=1))
+    shown = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    return r.groupBy("policy_id").agg(F.count("*").alias("rows"), shown(ok(0.5), "fresh"), shown(ok(6), "stale"))
 
 
 QUERIES = {
@@ -302,5 +304,5 @@ ORACLES = {
     "fetch_hit": _LIVE + " SELECT doc_id AS id, source, text FROM live ORDER BY doc_id LIMIT 1",
     "tenancy_exact": f"SELECT DISTINCT row_id, record_id FROM records WHERE namespace = '{NS}'",
     "entitlement_fresh": "SELECT DISTINCT row_id FROM records WHERE policy_id = 'document-v1'",
-    "entitlement_stale": "SELECT DISTINCT row_id FROM records WHERE false",
+    "entitlement_stale": "SELECT policy_id, count(*) AS rows, count(*) FILTER (policy_id = 'document-v1') AS fresh, 0::bigint AS stale FROM (SELECT DISTINCT row_id, policy_id FROM records) GROUP BY 1",
 } | {f"filter_{k}": f"SELECT doc_id, lang, source FROM documents WHERE {w}" for k, (_, w) in FILTERS.items()}

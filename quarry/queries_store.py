@@ -54,7 +54,12 @@ def live_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def one_live_violations(spark: SparkSession, d: str) -> DataFrame:
-    return store.double_live(_records(spark, d))
+    """Per namespace its live spans and those with more than one live row; a closed row taken for live would be one."""
+    r = _records(spark, d)
+    spans = store.live(r).groupBy("namespace").agg(F.countDistinct("source_id", "stable_key").alias("spans"))
+    bad = store.double_live(r).groupBy("namespace").agg(F.count("*").alias("violations"))
+    reopened = store.double_live(r.withColumn("tx_to", F.lit(None).cast("timestamp"))).groupBy("namespace").agg(F.count("*").alias("if_all_were_live"))
+    return spans.join(bad, "namespace", "left").join(reopened, "namespace", "left").na.fill(0)
 
 
 def as_of_snapshot(spark: SparkSession, d: str) -> DataFrame:
@@ -75,7 +80,11 @@ def tier_clamp(spark: SparkSession, d: str) -> DataFrame:
 
 
 def foreign_writers(spark: SparkSession, d: str) -> DataFrame:
-    return store.foreign_writers(table(spark, d, "records")).select("row_id", "namespace").distinct()
+    """Rows of foreign writers per namespace, and how many there would be if every writer were the one of a single namespace."""
+    r = table(spark, d, "records")
+    count = lambda df, name: df.groupBy("namespace").agg(F.countDistinct("row_id").alias(name))
+    moved = r.withColumn("provenance", F.struct(F.struct(F.lit(NS).alias("namespace")).alias("writer")))
+    return count(r, "rows").join(count(store.foreign_writers(r), "foreign"), "namespace", "left").join(count(store.foreign_writers(moved), "others"), "namespace", "left").na.fill(0)
 
 
 def navigate_tree(spark: SparkSession, d: str) -> DataFrame:
@@ -159,14 +168,16 @@ ORACLES = {
     "log_scan_counts": "SELECT namespace, kind, count(*) AS deliveries, count(DISTINCT op_seq) AS operations FROM write_ops GROUP BY ALL",
     "bitemporal_versions": _V + " SELECT * FROM v",
     "live_records": _V + " SELECT namespace, source_id, stable_key, record_id FROM v WHERE seq_to IS NULL",
-    "one_live_violations": f"WITH {_R} SELECT namespace, source_id, stable_key, count(DISTINCT row_id) AS rows FROM r WHERE tx_to IS NULL GROUP BY ALL HAVING count(DISTINCT row_id) > 1",
+    "one_live_violations": f"""WITH {_R}, s AS (SELECT namespace, source_id, stable_key, count(DISTINCT row_id) FILTER (tx_to IS NULL) AS live, count(DISTINCT row_id) AS all_rows FROM r GROUP BY ALL)
+     SELECT namespace, count(*) FILTER (live > 0) AS spans, count(*) FILTER (live > 1) AS violations, count(*) FILTER (all_rows > 1) AS if_all_were_live FROM s GROUP BY 1 HAVING count(*) FILTER (live > 0) > 0""",
     "as_of_snapshot": f"WITH {_R} SELECT namespace, count(*) AS rows, min(row_id) AS first_row FROM r WHERE tx_from <= timestamptz '2026-06-01 00:00:00+00' AND (tx_to IS NULL OR tx_to > timestamptz '2026-06-01 00:00:00+00') GROUP BY 1",
     "write_outcomes": _V + " SELECT namespace, source_id, stable_key, op_seq, outcome FROM k",
     "forget_effect": _V + " SELECT namespace, source_id, stable_key, prior AS record_id, op_seq AS seq_to FROM m WHERE outcome = 'forgotten'",
     "change_feed": "SELECT DISTINCT op_seq, namespace, coalesce(record_id, target_id) AS record_id, CASE WHEN kind = 'forget' THEN 'forgotten' ELSE 'created' END AS change FROM write_ops WHERE op_seq > 3000",
     "tier_clamp": """SELECT DISTINCT row_id, CASE WHEN lower(provenance.authority_tier) IN ('primary', 'corroborated')
      AND NOT coalesce(list_contains(provenance.writer.capabilities, 'verified_source'), false) THEN 'inferred' ELSE lower(provenance.authority_tier) END AS tier FROM records""",
-    "foreign_writers": "SELECT DISTINCT row_id, namespace FROM records WHERE namespace IS DISTINCT FROM provenance.writer.namespace",
+    "foreign_writers": f"""SELECT namespace, count(DISTINCT row_id) AS rows, count(DISTINCT row_id) FILTER (namespace IS DISTINCT FROM provenance.writer.namespace) AS foreign,
+     count(DISTINCT row_id) FILTER (namespace IS DISTINCT FROM '{NS}') AS others FROM records GROUP BY 1""",
     "navigate_tree": f"""WITH {_R}, o AS (SELECT row_id, record_id, section_path FROM r WHERE tx_to IS NULL AND namespace = '{NS}' AND section_path IS NOT NULL)
      SELECT array_to_string(section_path, chr(10)) AS path, len(section_path) AS depth, min(row_id) AS first_row, arg_min(record_id, row_id) AS record_id, count(*) AS records FROM o GROUP BY ALL""",
     "touched_ids": "SELECT DISTINCT namespace, record_id FROM (SELECT namespace, unnest([record_id, old_id, target_id]) AS record_id FROM write_ops WHERE op_seq > 3500) WHERE record_id IS NOT NULL",

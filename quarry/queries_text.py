@@ -52,8 +52,11 @@ def script_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def script_lines(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    letters, share = T.script_share(F.col("line"), "Han")
-    return lines.withColumns({"letters": letters, "share": share}).where("letters >= 8 and share >= 0.1").select("doc_id", "line_no", F.col("letters").cast("long").alias("letters"))
+    each = []
+    for script in ("Latin", "Han"):
+        letters, share = T.script_share(F.col("line"), script)
+        each.append(lines.withColumns({"letters": letters, "share": share}).where("letters >= 8 and share >= 0.6").select("doc_id", "line_no", F.lit(script).alias("script"), F.col("letters").cast("long").alias("letters")))
+    return each[0].unionByName(each[1])
 
 
 def word_edge_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -90,6 +93,11 @@ ORACLES = {
      SELECT namespace, source_id, stable_key, record_id, old_id, input_id, CASE WHEN old_id IS NULL THEN 'assert' ELSE 'supersede' END AS kind
      FROM n LEFT JOIN o USING (namespace, source_id, stable_key) WHERE old_id IS NULL OR old_id <> record_id""",
     "script_counts": "SELECT doc_id, " + ", ".join(f"{_COUNT.format(s=s)} AS {s.lower()}" for s in ("Latin", "Han", "Hiragana", "Katakana")) + " FROM documents WHERE text IS NOT NULL",
+    "script_lines": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents WHERE text IS NOT NULL),
+     c AS (SELECT doc_id, line_no::int AS line_no, len(regexp_extract_all(line, '\p{Latin}')) AS latin, len(regexp_extract_all(line, '\p{Han}')) AS han,
+       length(regexp_replace(line, '[\s\x{00A0}\x{3000}\x{2000}-\x{200A}\x{0085}\x{2028}\x{2029}]', '', 'g')) AS visible FROM l)
+     SELECT doc_id, line_no, 'Latin' AS script, latin AS letters FROM c WHERE latin >= 8 AND latin >= 0.6 * visible
+     UNION ALL SELECT doc_id, line_no, 'Han', han FROM c WHERE han >= 8 AND han >= 0.6 * visible""",
     "word_edge_terms": r"""SELECT doc_id FROM documents WHERE (regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])audit($|[^\p{L}\p{N}_])') AND regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])export($|[^\p{L}\p{N}_])'))
      OR regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])glossary($|[^\p{L}\p{N}_])')""",
     "text_profile": """SELECT doc_id, coalesce(length(text), 0) AS chars, strlen(text) AS bytes,

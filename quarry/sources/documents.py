@@ -108,11 +108,23 @@ def qrels(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("query_id", "doc_id", "score")
 
 
+def _parsed(text: str, path: str):
+    if not path.endswith((".yaml", ".yml")):
+        return json.loads(text)
+    try:
+        import yaml
+    except ImportError as missing:
+        raise RuntimeError("reading YAML needs the yaml package") from missing
+    return yaml.safe_load(text)
+
+
 def regression_cases(spark: SparkSession, path: str) -> DataFrame:
-    """(case_id, query, expected, min_sufficiency, namespace) of a JSON list; a bare string where a list belongs is refused."""
+    """(case_id, query, expected, min_sufficiency, namespace) of a JSON or YAML list; a bare string where a list belongs is refused."""
     text = "".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
-    rows = []
-    for n, case in enumerate(json.loads(text)):
+    rows, cases = [], _parsed(text, path)
+    if not isinstance(cases, list) or not all(isinstance(c, dict) for c in cases):
+        raise ValueError("a regression set is a list of cases")
+    for n, case in enumerate(cases):
         expected = case.get("expected_content_substrings", [])
         if not isinstance(expected, list) or not all(isinstance(x, str) for x in expected):
             raise ValueError(f"case {n}: expected_content_substrings must be a list of strings")
