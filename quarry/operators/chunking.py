@@ -12,6 +12,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from math import log2
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,8 +23,7 @@ _ROW = re.compile(r"\s*\|.*\|\s*$")
 _RULE = re.compile(r"\s*\|(?:\s*:?-+:?\s*\|)+\s*$")
 
 #: 256 random 64-bit numbers, one per byte value, from the hash of a label of our own.
-_GEAR = [int.from_bytes(hashlib.sha256(f"quarry gear {i}".encode()).digest()[:8], "big") for i in range(256)]
-_MASK64 = (1 << 64) - 1
+_GEAR = np.array([int.from_bytes(hashlib.sha256(f"quarry gear {i}".encode()).digest()[:8], "big") for i in range(256)], np.uint64)
 
 
 def sections_of(text: str | None, root: str) -> list[tuple[list[str], str]]:
@@ -62,31 +62,46 @@ def sections(inputs: DataFrame, key: str = "input_id", root: str = "source_id",
     return out.withColumnRenamed("key", key)
 
 
+def rolling(data: bytes) -> np.ndarray:
+    """The gear hash of the 64 bytes up to and with each byte.
+
+    It is a sum of shifted random numbers, one per byte, so windows of 1, 2,
+    4, ... bytes are put together from two of half their size.
+    """
+    h = _GEAR[np.frombuffer(data, np.uint8)]
+    for width in (1, 2, 4, 8, 16, 32):
+        h[width:] += h[:-width] << np.uint64(width)
+    return h
+
+
 def boundaries(data: bytes, least: int, average: int, most: int) -> list[int]:
     """Ends of content-defined chunks.
 
-    A rolling gear hash looks back 64 bytes; a chunk ends where its high bits
-    are zero, two more of them before the average size and two fewer after it,
-    not before ``least`` and at the latest at ``most``.  Bytes further back
-    than 64 no longer touch the hash, so it is primed only there.
+    A chunk ends where the high bits of the rolling hash are zero, two more of
+    them before the average size and two fewer after it, not before ``least``
+    and at the latest at ``most``.  The hash looks back 64 bytes, so it is the
+    same wherever the chunk began.
     """
     if not 64 <= least <= average <= most:
         raise ValueError("sizes must be 64 <= least <= average <= most")
+    size = len(data)
+    if size <= least:
+        return [size] if size else []
     bits = round(log2(average))
-    hard, soft = ((1 << (bits + 2)) - 1) << (62 - bits), ((1 << max(1, bits - 2)) - 1) << (64 - max(1, bits - 2))
-    ends, start, size = [], 0, len(data)
+    h = rolling(data)
+    zero = lambda n: (np.flatnonzero(h >> np.uint64(64 - n) == 0) + 1).tolist()
+    hard, soft = zero(bits + 2), zero(max(1, bits - 2))
+    ends, start = [], 0
     while size - start > least:
-        h, i = 0, start + least - 64
-        for i in range(start + least - 64, start + least):
-            h = ((h << 1) + _GEAR[data[i]]) & _MASK64
-        stop, i = min(size, start + most), start + least
-        while i < stop:
-            h = ((h << 1) + _GEAR[data[i]]) & _MASK64
-            i += 1
-            if not h & (hard if i - start < average else soft):
-                break
-        ends.append(i)
-        start = i
+        stop = min(size, start + most)
+        n = bisect_left(hard, start + least + 1)
+        if n < len(hard) and hard[n] < start + average and hard[n] <= stop:
+            end = hard[n]
+        else:
+            n = bisect_left(soft, max(start + least + 1, start + average))
+            end = soft[n] if n < len(soft) and soft[n] <= stop else stop
+        ends.append(end)
+        start = end
     if start < size:
         ends.append(size)
     return ends
@@ -129,11 +144,12 @@ def prose_chunks(text: str, least: int, average: int, most: int, protected: list
     if any(a >= b for a, b in regions) or any(x[1] > y[0] for x, y in zip(regions, regions[1:])):
         raise ValueError("regions must be sorted, not empty and disjoint")
     data = text.encode("utf-8", "surrogatepass")
-    at, total = [0], 0
-    for c in text:
-        o = ord(c)
-        total += 1 if o < 0x80 else 2 if o < 0x800 else 3 if o < 0x10000 else 4
-        at.append(total)
+    if len(data) == len(text):
+        at: list[int] | range = range(len(text) + 1)
+    else:
+        # Bytes that begin a character, in the order of characters.
+        starts = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80
+        at = [*np.flatnonzero(starts).tolist(), len(data)]
     cuts = {bisect_left(at, e) for e in boundaries(data, least, average, most)} | {p for r in regions for p in r}
     cuts = sorted(c for c in cuts if 0 < c < len(text) and not any(a < c < b for a, b in regions))
     edges = [0, *cuts, len(text)]

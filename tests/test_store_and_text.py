@@ -86,6 +86,27 @@ def test_boundaries_resynchronise():
     assert max(sizes) <= 4096 and min(sizes[:-1]) >= 256
 
 
+@pytest.mark.parametrize("sizes", [(64, 64, 64), (64, 128, 512), (256, 1024, 4096)])
+def test_boundaries_byte_by_byte(sizes):
+    rng, (least, average, most) = random.Random(7), sizes
+    for n in (0, 1, least, least + 1, 3_000, 9_000):
+        data = bytes(rng.choice(b"abcdefgh \n") for _ in range(n))
+        bits = round(C.log2(average))
+        want, start = [], 0
+        while n - start > least:
+            i, stop, h = start + least, min(n, start + most), 0
+            for b in data[i - 64 : i]:
+                h = (h << 1) + int(C._GEAR[b]) & (1 << 64) - 1
+            while i < stop:
+                h = (h << 1) + int(C._GEAR[data[i]]) & (1 << 64) - 1
+                i += 1
+                if h >> 64 - (bits + 2 if i - start < average else max(1, bits - 2)) == 0:
+                    break
+            want.append(i)
+            start = i
+        assert C.boundaries(data, *sizes) == want + ([n] if start < n else [])
+
+
 def test_table_groups_repeat_the_header():
     rows = [f"| row {i} | {'x' * 20} |" for i in range(30)]
     text = "before | not a table\n\n| a | b |\n|---|---|\n" + "\n".join(rows) + "\n\nafter"
