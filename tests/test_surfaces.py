@@ -143,3 +143,43 @@ def test_compare_and_set_over_a_stream(spark):
     got = {(r.stable_key, r.op_seq): r.outcome for r in spark.read.schema(spans.OUT).parquet(out).where("op_seq > 1").collect()}
     want = {2: "unchanged", 3: "superseded", 4: "refused", 5: "forgotten", 6: "created", 7: "converted"}
     assert got == {(k, n): w for k in "pq" for n, w in want.items()}
+
+
+def test_verbs_over_http(spark):
+    import json
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from quarry import surface
+    from quarry.context import Principal
+    from quarry.plans.search import Frames
+
+    docs = spark.createDataFrame([(1, "cat and hat", "a", "x"), (2, "cat", "b", "y")], "doc_id long, text string, namespace string, source string")
+    records = spark.createDataFrame([(1, "r1", "a", ["x", "H"], None)], "row_id long, record_id string, namespace string, section_path array<string>, tx_to timestamp")
+    log = spark.createDataFrame([(1, "a", "assert", "r1", None), (2, "b", "assert", "r2", None), (3, "a", "forget", None, "r1")], "op_seq long, namespace string, kind string, record_id string, target_id string")
+    traces, judged = [], []
+    service = surface.Service(Frames(docs), records, log, b"k", traces.append, judged.append, available=("grep",))
+    web = surface.server(service, {"t": Principal("p", "a")}.get, 0)
+    threading.Thread(target=web.serve_forever, daemon=True).start()
+
+    def ask(verb, token="t", **arguments):
+        request = urllib.request.Request(f"http://127.0.0.1:{web.server_port}/{verb}", json.dumps(arguments).encode(), {"Authorization": f"Bearer {token}"})
+        try:
+            with urllib.request.urlopen(request, timeout=60) as got:
+                return got.status, json.loads(got.read())["result"]
+        except urllib.error.HTTPError as failed:
+            return failed.code, None
+
+    try:
+        status, found = ask("search", query="cat")
+        assert status == 200 and len(found["hits"]) == 1 and found["status"] == "sufficient" and len(traces) == 1
+        hit = found["hits"][0]["hit_id"]
+        assert ask("fetch", hit_id=hit)[1]["text"] == "cat and hat" and ask("fetch", hit_id="junk") == (200, None)
+        assert ask("feedback", hit_id=hit, useful=True) == (200, True) and judged[0].first().record_id == "1"
+        assert ask("navigate", ref="x")[1][0]["records"] == 1 and ask("since")[1]["marker"] == 3
+        assert "acl_filter{namespace=a}" in ask("explain", query="cat")[1]["plan"]
+        assert ask("search", token="no", query="cat")[0] == 401 and ask("search", namespace="b", query="cat")[0] == 400 and ask("drop")[0] == 404
+        assert surface.answer(service, {}.get, "search", "t", b"x" * (surface.BODY + 1))[0] == 413
+    finally:
+        web.shutdown()
