@@ -25,14 +25,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.session import stage
+from quarry.session import release, stage
 from quarry.sources import files
 
 SPAN = ["namespace", "source_id", "stable_key"]
 #: A span of more operations than this is folded in pieces of so many op_seq values.
 PIECE = 5_000
 #: Buckets of a new store at least, and deliveries of its first batch per bucket; names of hot spans that are broadcast at most.
-BUCKETS, PER_BUCKET, NAMED = 64, 100_000, 100_000
+BUCKETS, PER_BUCKET, NAMED = 16, 50_000, 100_000
 
 _SCHEMAS = {
     "ops": "bucket int, h1 long, h2 long, op_seq long, kind string, record_id string, rh long, oh long, namespace string, source_id string, stable_key string",
@@ -109,11 +109,14 @@ def events(every: DataFrame) -> tuple[DataFrame, bool]:
     and retries are removed there.  Were the repeats of an op_seq to differ,
     the smallest row holds, so arrival doesn't matter.
     """
-    counts = every.groupBy("bucket", "h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") > PIECE)
-    hot = stage(counts.select("bucket", "h1", "h2", F.lit(True).alias("hot")), "hot")
-    many, piece = hot.count(), F.lit(-1).cast("long")
-    if many:
-        every = every.join(F.broadcast(hot) if many <= NAMED else hot, ["bucket", "h1", "h2"], "left")
+    key = ["bucket", "h1", "h2"]
+    counts = every.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > PIECE).select(*key, F.lit(True).alias("hot"))
+    # Few names are sent to every task; many are joined by a shuffle.
+    few = counts.limit(NAMED + 1).collect()
+    piece = F.lit(-1).cast("long")
+    if few:
+        named = F.broadcast(every.sparkSession.createDataFrame(few, counts.schema)) if len(few) <= NAMED else counts
+        every = every.join(named, key, "left")
         piece = F.when(F.col("hot"), F.floor(F.col("op_seq") / PIECE)).otherwise(piece)
     placed = every.withColumns({"sub": F.pmod(F.shiftright("h1", 40), F.lit(2)).cast("int"), "piece": piece})
     body = F.struct("kind", "record_id", "rh", "oh", *SPAN)
@@ -124,7 +127,7 @@ def events(every: DataFrame) -> tuple[DataFrame, bool]:
         .where(~F.col("lost") & F.col("b").isNotNull())
         .select(*_SPAN_KEY, "op_seq", "at", "b.*")
     )
-    return rows, many > 0
+    return rows, bool(few)
 
 
 _NONE = "named_struct('r', cast(null as string), 'h', cast(null as bigint), 's', cast(null as bigint))"
@@ -326,14 +329,18 @@ class BucketStore:
         """Apply one batch of deliveries; returns the buckets it rewrote."""
         old, made = self.manifest(), f"{self.path}/data/{uuid.uuid4().hex}"
         base = old["version"] > 0
-        count = old["buckets"] if base else self.buckets or max(BUCKETS, changes.count() // PER_BUCKET)
+        rows = changes.count()
+        count = old["buckets"] if base else self.buckets or max(BUCKETS, rows // PER_BUCKET)
         fresh, home = normalise(changes, count), lambda c: F.pmod(F.col(c), F.lit(count)).cast("int")
         write = F.col("kind") != "forget"
         keys, records, forgets = (self._part(old, p, set()) for p in ("keys", "records", "forgets"))
         if base:
-            # Only buckets that the batch names are looked at, and what they know already is left out.
+            # Only buckets that the batch names are looked at.
             b, k, r = self._sets(fresh, home)
             keys, forgets = self._part(old, "keys", k), self._part(old, "forgets", r)
+        if base and rows <= old["deliveries"]:
+            # What they know already is left out, so that repeats touch nothing.  A batch that is larger than all
+            # before it touches nearly everything anyway, and repeats change no bucket that is folded again.
             known = self._part(old, "ops", b).select("h1", "h2", "op_seq").unionByName(forgets.select(F.col("r1").alias("h1"), F.col("r2").alias("h2"), "op_seq"))
             named = fresh.withColumns({"h1_": F.when(write, F.col("h1")).otherwise(F.col("r1")), "h2_": F.when(write, F.col("h2")).otherwise(F.col("r2"))})
             new = named.join(known.select(F.col("h1").alias("h1_"), F.col("h2").alias("h2_"), "op_seq"), ["h1_", "h2_", "op_seq"], "left_anti").drop("h1_", "h2_")
@@ -342,9 +349,9 @@ class BucketStore:
             new.write.parquet(f"{made}/batch")
             fresh = self.spark.read.schema(new.schema).parquet(f"{made}/batch")
             b, k, r = self._sets(fresh, home)
-            if not r:
-                return []
             keys = self._part(old, "keys", k)
+        if base and not r:
+            return []
         keyed = fresh.where(F.col("k1").isNotNull()).select(*_names("keys")).unionByName(keys)
         first, lost = first_of_keys(keyed)
         if base:
@@ -369,24 +376,32 @@ class BucketStore:
         if base:
             touched = {x[0] for x in every.select("bucket").distinct().collect()}
             every = every.unionByName(self._part(old, "ops", touched).withColumn("lost", F.lit(False)))
-        rows, pieces = events(every)
-        fold(rows, pieces).withColumn("b", F.col("bucket")).write.partitionBy("part", "b").parquet(f"{made}/files")
-        for part, frame, by in (("keys", first, "k1"), ("records", spans, "r1"), ("forgets", forgets.unionByName(asked), "r1")):
-            frame.select(*_names(part), home(by).alias("b")).repartition("b").write.partitionBy("b").parquet(f"{made}/files/part={part}")
-        return self._commit(old, f"{made}/files", count, touched, k if base else None, r if base else None)
+        steps, pieces = events(every)
+        made_of = {"ops": fold(steps, pieces).withColumn("b", F.col("bucket"))}
+        for part, frame, by in (("keys", first, "k1"), ("records", spans, "r1"), ("forgets", forgets.unionByName(asked).distinct(), "r1")):
+            made_of[part] = frame.select(*_names(part), home(by).alias("b")).repartition("b")
+
+        def save(part: str) -> None:
+            by, path = (["part", "b"], f"{made}/files") if part == "ops" else (["b"], f"{made}/files/part={part}")
+            made_of[part].write.mode("append").partitionBy(*by).parquet(path)
+
+        for part in made_of:
+            save(part)
+            release(self.spark)
+        return self._commit(old, f"{made}/files", {"buckets": count, "deliveries": old.get("deliveries", 0) + rows}, touched, k if base else None, r if base else None)
 
     def _sets(self, fresh: DataFrame, home) -> tuple[set[int], set[int], set[int]]:
         """The buckets of spans, keys and records that a batch names; at most as many as the store has."""
         row = fresh.agg(*[F.collect_set(c) for c in (F.col("bucket"), home("k1"), home("r1"))]).first()
         return tuple({x for x in c if x is not None} for c in row)  # type: ignore[return-value]
 
-    def _commit(self, old: dict, made: str, count: int, touched: set[int] | None, k: set[int] | None, r: set[int] | None) -> list[int]:
+    def _commit(self, old: dict, made: str, facts: dict, touched: set[int] | None, k: set[int] | None, r: set[int] | None) -> list[int]:
         version, new = old["version"] + 1, {}
         for part, gone in (("ops", touched), ("live", touched), ("keys", k), ("records", r), ("forgets", r)):
             path = f"{made}/part={part}"
             found = {n[2:]: f"{path}/{n}" for n in files.names(self.spark, path) if n.startswith("b=")}
             new[part] = {b: p for b, p in old[part].items() if gone is not None and int(b) not in gone} | found
-        if not files.write_text_atomic(self.spark, f"{self.path}/manifests/{version:010d}.json", json.dumps({"version": version, "buckets": count, **new})):
+        if not files.write_text_atomic(self.spark, f"{self.path}/manifests/{version:010d}.json", json.dumps({"version": version, **facts, **new})):
             raise RuntimeError(f"version {version} was committed by another writer")
         return sorted(touched if touched is not None else map(int, new["ops"]))
 

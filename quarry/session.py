@@ -66,6 +66,14 @@ def sweep(spark: SparkSession) -> int:
     return len(paths)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished jobs now: Spark deletes them once its driver has collected its garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
