@@ -17,7 +17,8 @@ from quarry.functions import text as T
 from quarry.operators.retrieval import K1, B, Parsed, parse, ranked
 from quarry.session import scratch
 
-BUCKETS = 64
+#: Buckets of an index at least, and documents per bucket.
+BUCKETS, PER_BUCKET = 16, 100_000
 
 
 def postings(df: DataFrame, text: str = "text", key: str = "doc_id", config: str = "simple") -> DataFrame:
@@ -44,9 +45,10 @@ class Index:
     buckets: int = BUCKETS
 
     @classmethod
-    def build(cls, df: DataFrame, path: str, *, text: str = "text", key: str = "doc_id", namespace: str = "namespace", config: str = "simple", buckets: int = BUCKETS) -> Index:
+    def build(cls, df: DataFrame, path: str, *, text: str = "text", key: str = "doc_id", namespace: str = "namespace", config: str = "simple", buckets: int | None = None) -> Index:
         """Writes the index of ``df``; a null namespace is indexed and found by nobody who names one."""
         named = df.select(F.col(key).alias("id"), F.col(namespace).alias("namespace"), F.col(text).alias("text")).where("text is not null")
+        buckets = buckets or max(BUCKETS, named.count() // PER_BUCKET)
         home = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
         rows = postings(named.withColumn("doc", F.struct("namespace", "id")), "text", "doc", config).select("doc.*", "term", "tf", "positions").withColumn("bucket", home)
         rows.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
