@@ -73,3 +73,30 @@ def test_reread_is_before_whatever_is_open(spark):
     assert {(r.view_name, r.reread_from) for r in I.reread_from(log, runs, ("dense", "lexical")).collect()} == {("dense", 192), ("lexical", 0)}
     got = I.to_process(log, runs, ("dense", "lexical"))
     assert {r.row_id for r in got.where("view_name = 'dense'").collect()} == {200, *range(384, 400)}
+
+
+REPORTS = "report_id long, namespace string, wal_after long, wal_upto long, status string, started_at timestamp, entries map<string,long>"
+
+
+def test_what_reports_are_cut_into_is_never_broadcast(spark):
+    # The planner takes it for as small as the reports' file, which passes the limit of 10 MB; it is many times larger.
+    path = scratch(spark, "reports")
+    spark.createDataFrame([(n, "a", 900 * n, 900 * n + 901, "succeeded", T0, {"dense": 1}) for n in range(20)], REPORTS).write.parquet(path)
+    runs = I.succeeded_runs(spark.read.parquet(path), ("dense",))
+    spark.range(2000).selectExpr("id as row_id", "'a' as namespace", "id * 9 as version", "timestamp'2025-01-01' as committed_at").write.parquet(path := scratch(spark, "rows"))
+    rows = spark.read.parquet(path)
+    for df in (I.reread_from(rows, runs, ("dense",)), I.to_process(rows, runs, ("dense",))):
+        lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+        depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+        for n, line in enumerate(lines):
+            if "BroadcastExchange" in line:
+                below = next((k for k in range(n + 1, len(lines)) if depth(lines[k]) <= depth(line)), len(lines))
+                assert "MapInPandas" not in "".join(lines[n:below]) and "wal_upto" not in "".join(lines[n:below])
+    assert {r.row_id for r in I.to_process(rows, runs, ("dense",)).collect()} == {0}  # position 0 is before all runs
+
+
+def test_copies_that_differ_are_processed_one_by_one(spark):
+    rows = [(1, "a", 70, T0), (1, "a", 70, T0 + timedelta(hours=5)), (2, "a", 71, T0), (2, "a", 71, T0), (3, "a", 72, T0), (3, "a", 72, None), (4, "a", 73, T0), (4, "b", 73, T0)]
+    log = spark.createDataFrame(rows, "row_id long, namespace string, version long, committed_at timestamp")
+    runs = I.succeeded_runs(spark.createDataFrame([(1, "a", 60, 80, "succeeded", T0 + timedelta(hours=1), {"dense": 1})], REPORTS), ("dense",))
+    assert sorted(r.row_id for r in I.to_process(log, runs, ("dense",)).collect()) == [1, 3, 4]
