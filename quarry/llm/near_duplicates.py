@@ -6,8 +6,9 @@
 3. Bands are routed by hash range as packed arrays, a few bytes an entry, and
    collisions are found by sorting numbers, not by joining rows.
 4. A pair whose signatures agree in enough bands is verified exactly on its
-   shingles.  Members of a crowded bucket are not all paired: they are joined
-   on the rarest of their shingles, which loses none that is alike.
+   shingles.  Members of a crowded bucket are not all paired: they meet by a
+   second band, and those of a bucket that is crowded then too are joined on
+   the rarest of their shingles, which loses none that is alike.
 5. Verified pairs are expanded to rows, or grouped by alternating large-star
    and small-star.
 """
@@ -20,10 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.session import cut, stage
+from quarry.session import cut, release, stage
 
 #: Minima per band, bands, and bands in which two signatures must agree.
 ROWS, BANDS, AGREE = 4, 96, 2
@@ -31,8 +33,8 @@ ROWS, BANDS, AGREE = 4, 96, 2
 RANGE, CROWD = 1_000_000, 256
 #: Ids of one packed batch; their places fit in two bytes.
 BATCH = 40_000
-#: Stands for the ids of a crowded key; lower than any id.
-FLAG = np.iinfo(np.int64).min
+#: The place that stands for those of a crowded key; none is as high.
+FLAG = 2**16 - 1
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -118,78 +120,105 @@ def _unplanes(data: bytes, size: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def colliding(texts: DataFrame, *, size: int, ranges: int, rows: int = ROWS, bands: int = BANDS, seed: int = 11) -> DataFrame:
-    """Collisions of the signatures of (id, text) rows; rows of one id have the same text.
+def _short(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """(range, place in the range as four bytes) of each key."""
+    step = np.uint64(2**64 // ranges + 1)
+    r = keys // step
+    return r.astype(np.int64), (keys - r * step) >> np.uint64(max(0, 32 - (ranges.bit_length() - 1)))
 
-    A row (a, b, null), a < b, for each band in which two ids agree.  A bucket
-    of more than ``CROWD`` ids is not paired: it gives a row (a, null, key)
-    for each of its ids.
 
-    Entries travel as arrays, one binary row per batch and hash range: five
-    bytes of key and two that point into the batch's ids.  A key that is
-    crowded within a batch leaves only a flag in its range; its ids go to
-    other ranges, spread by batch, so no task gathers all ids of a hot key.
+def colliding(texts: DataFrame, *, size: int, ranges: int, rows: int = ROWS, bands: int = BANDS, agree: int = AGREE, seed: int = 11, before: int = 0) -> DataFrame:
+    """Collisions of the signatures of (id, text) rows; rows of one id have the same text.
+
+    A row (a, b, null), a < b, for two ids that agree in ``agree`` bands or
+    more.  A bucket of more than ``CROWD`` ids is not paired: it gives a row
+    (a, null, key) for each of its ids.
+
+    Entries travel as arrays, one binary row per batch and hash range: four
+    bytes of key and two that are the id's place in the batch, whose ids travel
+    once.  A key that is crowded within a batch leaves only a flag in its
+    range; its ids go to other ranges, spread by batch, so no task gathers all
+    ids of a hot key.  Pairs are many more than those that agree often enough,
+    as unlike texts that share a phrase meet now and then; they travel as
+    arrays too, to the partition that counts them, and are never written out.
+
+    With ``before``, texts have an array ``crowds`` of the crowded keys that a
+    call with so many ranges gave their ids, and ids meet only if they share a
+    crowded key and another band.
     """
     a = coefficients(rows * bands, seed)
-    step = np.uint64(2**64 // ranges + 1)
-    shift = np.uint64(max(0, 24 - (ranges.bit_length() - 1)))
 
-    def packed(held: dict[int, np.ndarray]) -> pd.DataFrame:
-        each = list(held.values())
-        keys = np.concatenate([band_keys(np.stack(each[i : i + 1024]), rows).ravel() for i in range(0, len(each), 1024)])
-        ids = np.append(np.fromiter(held, dtype=np.int64, count=len(held)), FLAG)
+    def packed(held: dict[int, tuple], batch: int) -> pd.DataFrame:
+        each, crowds = [m for m, _ in held.values()], [c for _, c in held.values()]
+        keys = np.concatenate([band_keys(np.stack(each[i : i + 1024]), rows) for i in range(0, len(each), 1024)])
         own = np.repeat(np.arange(len(each)), bands)
+        if before:
+            many = np.array([len(c) for c in crowds])
+            shared, keys, own = np.concatenate(crowds).astype(np.int64), np.repeat(keys, many, axis=0), np.repeat(own.reshape(-1, bands), many, axis=0)
+            r, short = _short(keys, before)
+            others = short.astype(np.int64) + (r << 40) != shared[:, None]
+            keys = ((keys ^ (shared.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]) * np.uint64(0xFF51AFD7ED558CCD))[others]
+            keys, own = keys ^ (keys >> np.uint64(32)), own[others]
+            keys *= np.uint64(0xC2B2AE3D27D4EB4F)
+        keys = keys.ravel()
         at = np.argsort(keys)
         keys, own = keys[at], own[at]
         start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         length = np.diff(np.r_[start, len(keys)])
-        out, single = [], np.ones(len(keys), bool)
+        out, single = [(ranges + batch % ranges, batch, None, np.fromiter(held, dtype=np.int64, count=len(held)).tobytes())], np.ones(len(keys), bool)
         for n in np.flatnonzero(length > CROWD):
             lo, hi = start[n], start[n] + length[n]
-            r = int(keys[lo] // step)
-            short = np.int64((keys[lo] - np.uint64(r) * step) >> shift) + (r << 40)
-            out.append((ranges + int(ids[own[lo]] % ranges), short.tobytes(), None, ids[own[lo:hi]].tobytes()))
-            own[lo], single[lo + 1 : hi] = len(each), False
+            r, short = _short(keys[lo : lo + 1], ranges)
+            out.append((ranges + (batch + int(n)) % ranges, batch, (short.astype(np.int64) + (r << 40)).tobytes(), (own[lo:hi] + (batch << 16)).tobytes()))
+            own[lo], single[lo + 1 : hi] = FLAG, False
         keys, own = keys[single], own[single]
-        edges = np.searchsorted(keys, np.arange(ranges, dtype=np.uint64) * step)
-        for r, (lo, hi) in enumerate(zip(edges, [*edges[1:], len(keys)])):
+        part, short = _short(keys, ranges)
+        edges = np.searchsorted(part, np.arange(ranges + 1))
+        for r, (lo, hi) in enumerate(zip(edges, edges[1:])):
             if hi > lo:
-                used, local = np.unique(own[lo:hi], return_inverse=True)
-                out.append((r, _planes((keys[lo:hi] - np.uint64(r) * step) >> shift, 5), _planes(local, 2), ids[used].tobytes()))
-        return pd.DataFrame(out, columns=["r", "keys", "local", "ids"])
+                out.append((r, batch, _planes(short[lo:hi], 4), _planes(own[lo:hi], 2)))
+        return pd.DataFrame(out, columns=["r", "batch", "keys", "local"])
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, np.ndarray] = {}
+        held: dict[int, tuple] = {}
+        # Numbers of batches: the partition in the lower bits, as few bytes then differ.
+        batch, n = TaskContext.get().partitionId(), 0
         for pdf in batches:
-            for i, t in zip(pdf["id"], pdf["text"]):
+            for i, t, c in zip(pdf["id"], pdf["text"], pdf["crowds"] if before else [None] * len(pdf)):
                 if i not in held and len(x := shingles(t, size)):
-                    held[i] = minima(x, a)
-                    if len(held) == BATCH:
-                        yield packed(held)
-                        held = {}
+                    held[i], n = (minima(x, a), c), n + (len(c) if before else 1)
+                    if n >= BATCH:
+                        yield packed(held, batch)
+                        held, batch, n = {}, batch + (1 << 20), 0
         if held:
-            yield packed(held)
-
-    def frame(a_: np.ndarray, b_: np.ndarray | None, crowd: np.ndarray | None) -> pd.DataFrame:
-        none = pd.array([None] * len(a_), "Int64")
-        return pd.DataFrame({"a": a_, "b": none if b_ is None else pd.array(b_, "Int64"), "crowd": none if crowd is None else pd.array(crowd, "Int64")})
+            yield packed(held, batch)
+
+    def sent(x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+        """Pairs as arrays, one row per partition that counts."""
+        to = (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (y.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        to = ((to ^ (to >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)) % np.uint64(ranges)
+        at = np.lexsort((x, to))
+        to, x, y = to[at], x[at], y[at]
+        edges = np.searchsorted(to, np.arange(ranges + 1, dtype=np.uint64))
+        out = [(n, None, _planes(x[lo:hi], 6), _planes(y[lo:hi], 6)) for n, (lo, hi) in enumerate(zip(edges, edges[1:])) if hi > lo]
+        return pd.DataFrame(out, columns=["r", "batch", "keys", "local"]).astype({"batch": "Int64"})
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # A partition is one range, with the ids of some crowded keys.
+        # A partition is one range, with the names of some batches and the ids of some crowded keys.
         held = [x for x in batches if len(x)]
         if not held:
             return
         pdf = pd.concat(held, ignore_index=True)
         marked = pdf["r"] >= ranges
-        for ids_, key_ in zip(pdf["ids"][marked], pdf["keys"][marked]):
-            own = np.frombuffer(ids_, np.int64)
-            yield frame(own, None, np.repeat(np.frombuffer(key_, np.int64)[0], len(own)))
+        if marked.any():
+            yield pdf[marked]
         pdf = pdf[~marked]
         if not len(pdf):
             return
         r = int(pdf["r"].iloc[0])
-        keys = np.concatenate([_unplanes(x, 5) for x in pdf["keys"]])
-        ids = np.concatenate([np.frombuffer(t, np.int64)[_unplanes(x, 2)] for x, t in zip(pdf["local"], pdf["ids"])])
+        keys = np.concatenate([_unplanes(x, 4) for x in pdf["keys"]])
+        place = [_unplanes(x, 2).astype(np.int64) for x in pdf["local"]]
+        ids = np.concatenate([np.where(p == FLAG, -1, p + (int(n) << 16)) for p, n in zip(place, pdf["batch"])])
         at = np.lexsort((ids, keys))
         keys, ids = keys[at], ids[at]
         new = np.r_[True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])]
@@ -197,19 +226,61 @@ def colliding(texts: DataFrame, *, size: int, ranges: int, rows: int = ROWS, ban
         start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         length = np.diff(np.r_[start, len(keys)])
         # The flag is the lowest id, so it comes first.
-        hot = (length > CROWD) | (ids[start] == FLAG)
-        crowd = np.repeat(hot, length) & (ids != FLAG)
-        yield frame(ids[crowd], None, keys[crowd].astype(np.int64) + (r << 40))
-        pair = np.where(hot, 0, length)
+        hot = (length > CROWD) | (ids[start] < 0)
+        for n in np.flatnonzero(hot):
+            own = ids[start[n] : start[n] + length[n]]
+            if len(own := own[own >= 0]):
+                yield pd.DataFrame({"r": [ranges + r], "batch": pd.array([None], "Int64"), "keys": [(keys[start[n]].astype(np.int64) + (r << 40)).tobytes()], "local": [own.tobytes()]})
+        pair, ready, n = np.where(hot, 0, length), [], 0
         for gap in range(1, int(pair.max(initial=1))):
             at = np.flatnonzero(pair > gap)
             many = pair[at] - gap
             first = np.repeat(start[at], many) + (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
-            yield frame(ids[first], ids[first + gap], None)
-
-    blobs = texts.select("id", "text").mapInPandas(sign, "r int, keys binary, local binary, ids binary")
-    # Each range is a partition of its own, so their number grows with the input and their size does not; crowds follow modulo.
-    return blobs.repartitionById(ranges, "r").mapInPandas(meet, "a long, b long, crowd long")
+            ready.append((ids[first], ids[first + gap]))
+            n += len(first)
+            if n > RANGE:
+                yield sent(*map(np.concatenate, zip(*ready)))
+                ready, n = [], 0
+        if ready:
+            yield sent(*map(np.concatenate, zip(*ready)))
+
+    def frame(x: np.ndarray, y: np.ndarray | None, crowd: int | None, name: np.ndarray | None = None) -> pd.DataFrame:
+        none = pd.array([None] * len(x), "Int64")
+        full = pd.array(np.full(len(x), crowd or 0), "Int64")
+        return pd.DataFrame({"a": x, "b": none if y is None else pd.array(y, "Int64"), "crowd": none if crowd is None else full, "name": none if name is None else pd.array(name, "Int64")})
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x, y = [], []
+        for pdf in batches:
+            for r, batch, key, local in pdf.itertuples(index=False):
+                if r < ranges:
+                    x.append(_unplanes(key, 6))
+                    y.append(_unplanes(local, 6))
+                elif key is None:
+                    name = np.frombuffer(local, np.int64)
+                    yield frame(np.arange(len(name)) + (int(batch) << 16), None, None, name)
+                else:
+                    yield frame(np.frombuffer(local, np.int64), None, int(np.frombuffer(key, np.int64)[0]))
+        if x:
+            p, q = np.concatenate(x).astype(np.int64), np.concatenate(y).astype(np.int64)
+            at = np.lexsort((q, p))
+            p, q = p[at], q[at]
+            start = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (q[1:] != q[:-1])])
+            often = start[np.diff(np.r_[start, len(p)]) >= agree]
+            yield frame(p[often], q[often], None)
+
+    columns = "r int, batch long, keys binary, local binary"
+    # Each range is a partition of its own, so their number grows with the input and their size does not; names and crowds follow modulo.
+    met = texts.select("id", "text", *["crowds"] * bool(before)).mapInPandas(sign, columns).repartitionById(ranges, "r").mapInPandas(meet, columns)
+    met = stage(met.repartitionById(ranges, "r").mapInPandas(count, "a long, b long, crowd long, name long"), "met")
+    release(texts.sparkSession)
+    # A text may stand in several batches; the names of their places make its pairs one.
+    named = met.where("name is not null")
+    left, right = (named.select(F.col("a").alias(c), F.col("name").alias(f"{c}_id")).hint("merge") for c in "ab")
+    pairs = met.where("b is not null").select("a", "b").join(left, "a").join(right, "b").where("a_id <> b_id")
+    pairs = pairs.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), F.lit(None).cast("long").alias("crowd")).distinct()
+    crowd = met.where("crowd is not null").select("a", "crowd").join(left, "a").select(F.col("a_id").alias("a"), F.lit(None).cast("long").alias("b"), "crowd").distinct()
+    return pairs.unionByName(crowd)
 
 
 def jaccard(x: set, y: set) -> float:
@@ -226,12 +297,21 @@ def similar_classes(texts: DataFrame, threshold: float, size: int, rows: int = R
     """(a, b, likeness), a < b: ids of (id, text) rows whose shingle sets are alike by ``threshold`` or more."""
     n = texts.count()
     ranges = max(12, n * bands // RANGE)
-    met = stage(colliding(texts, size=size, ranges=ranges, rows=rows, bands=bands), "met")
-    pairs = met.where("crowd is null").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= agree).select("a", "b")
-    crowd = met.where("crowd is not null").select(F.col("a").alias("id")).distinct()
+    met = stage(colliding(texts, size=size, ranges=ranges, rows=rows, bands=bands, agree=agree), "pairs")
+    pairs = met.where("crowd is null").select("a", "b")
+    crowd = met.where("crowd is not null").select(F.col("a").alias("id"), "crowd")
+    if agree > 1 and (many := crowd.count()):
+        # Most of a crowd only share a phrase: its members meet by a second band, and those of a bucket that is crowded then too are alike.
+        keys = stage(crowd.groupBy("id").agg(F.collect_list("crowd").alias("crowds")), "crowds")
+        again = _of(texts, keys.select("id")).join(keys.hint("merge"), "id")
+        met = colliding(again, size=size, ranges=max(12, many * bands // RANGE), rows=rows, bands=bands, agree=agree - 1, before=ranges)
+        met = stage(met, "crowded")
+        pairs = pairs.unionByName(met.where("crowd is null").select("a", "b")).distinct()
+        crowd = met.where("crowd is not null").select(F.col("a").alias("id"))
+    crowd = crowd.select("id").distinct()
     if not crowd.isEmpty():
         pairs = pairs.unionByName(_prefix_pairs(_of(texts, stage(crowd, "crowd")), threshold, size)).distinct()
-    pairs = stage(pairs, "pairs")
+    pairs = stage(pairs, "candidates")
     one = _of(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     first = pairs.join(one.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     both = first.join(one.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")

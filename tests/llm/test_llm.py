@@ -184,6 +184,24 @@ def test_crowds_are_joined_by_rare_shingles(spark, monkeypatch):
     assert {tuple(r) for r in near_duplicates.similar_rows(spark.createDataFrame(rows, RECORDS)).collect()} == brute_pairs(rows)
 
 
+def test_a_shared_phrase_brings_no_crowd_to_the_join(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "CROWD", 3)
+    joined, join = [], near_duplicates._prefix_pairs
+    monkeypatch.setattr(near_duplicates, "_prefix_pairs", lambda texts, *a: joined.append(texts.count()) or join(texts, *a))
+    phrase = [f"t{i}" for i in range(22)]
+    # Every tenth text has a variant; the others have no more than the phrase in common.
+    rows = [(i, f"s{i % 3}", " ".join(phrase + [f"f{i - (i % 10 == 1)}x{j}" for j in range(38)])) for i in range(600)]
+    assert {tuple(r) for r in near_duplicates.similar_rows(spark.createDataFrame(rows, RECORDS)).collect()} == brute_pairs(rows) != set()
+    assert sum(joined) < 200
+
+
+def test_texts_of_several_batches(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BATCH", 5)
+    rows = variants(6)
+    df = spark.createDataFrame([*rows, *reversed(rows)], RECORDS).coalesce(2)
+    assert {tuple(r) for r in near_duplicates.similar_rows(df).collect()} == brute_pairs(rows)
+
+
 def test_large_classes_give_all_pairs(spark):
     text = " ".join(f"w{i}" for i in range(40))
     # The variant shares its source with the lowest row of the large class.
